@@ -99,6 +99,8 @@ def silhouette_samples(vectors: DataFrame, labels: DataFrame, id_col: str = "id"
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         d = euclidean_matrix(stack(left[vec_col]), stack(right[vec_col]))
+        if same:
+            np.fill_diagonal(d, 0.0)  # a row's distance to itself is exactly 0
         out = sums(left, right, d)
         if not same:
             out = pd.concat([out, sums(right, left, d.T)], ignore_index=True)
@@ -158,6 +160,8 @@ def davies_bouldin(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         d = euclidean_matrix(stack(left["center"]), stack(right["center"]))
+        if same:
+            np.fill_diagonal(d, 0.0)  # a centroid's distance to itself is exactly 0
         sa, sb = left["S"].to_numpy(), right["S"].to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
             r = np.where(d == 0, 0.0, (sa[:, None] + sb[None, :]) / np.where(d == 0, 1.0, d))

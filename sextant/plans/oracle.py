@@ -170,14 +170,15 @@ sz AS (SELECT param_idx, cluster_id, count(*) AS size FROM lab GROUP BY ALL),
 ed2 AS (SELECT i, j, ed FROM vp UNION ALL SELECT j, i, ed FROM vp),
 sums AS (SELECT a.param_idx, a.id, b.cluster_id, sum(d.ed) AS s FROM lab a JOIN ed2 d ON d.i = a.id
          JOIN lab b ON b.param_idx = a.param_idx AND b.id = d.j GROUP BY ALL),
-pr AS (SELECT a.param_idx, a.id, a.cluster_id AS own, o.size AS own_size,
-              (SELECT NULL) AS dummy FROM lab a JOIN sz o ON o.param_idx = a.param_idx AND o.cluster_id = a.cluster_id),
-ab AS (SELECT pr.param_idx, pr.id, pr.own, pr.own_size,
-              max(CASE WHEN s.cluster_id = pr.own THEN s.s END) / (pr.own_size - 1) AS a,
-              min(CASE WHEN s.cluster_id <> pr.own THEN s.s / z.size END) AS b
-       FROM pr LEFT JOIN sums s ON s.param_idx = pr.param_idx AND s.id = pr.id
-       LEFT JOIN sz z ON z.param_idx = s.param_idx AND z.cluster_id = s.cluster_id
-       GROUP BY ALL),
+pr AS (SELECT a.param_idx, a.id, a.cluster_id AS own, o.size AS own_size
+       FROM lab a JOIN sz o ON o.param_idx = a.param_idx AND o.cluster_id = a.cluster_id),
+ab0 AS (SELECT pr.param_idx, pr.id, pr.own, pr.own_size,
+               max(CASE WHEN s.cluster_id = pr.own THEN s.s END) AS own_sum,
+               min(CASE WHEN s.cluster_id <> pr.own THEN s.s / z.size END) AS b
+        FROM pr LEFT JOIN sums s ON s.param_idx = pr.param_idx AND s.id = pr.id
+        LEFT JOIN sz z ON z.param_idx = s.param_idx AND z.cluster_id = s.cluster_id
+        GROUP BY pr.param_idx, pr.id, pr.own, pr.own_size),
+ab AS (SELECT param_idx, id, own, own_size, own_sum / (own_size - 1) AS a, b FROM ab0),
 sil AS (SELECT param_idx, id, own AS cluster_id,
                CASE WHEN own_size <= 1 OR b IS NULL OR greatest(coalesce(a, 0), b) = 0 THEN 0.0
                     ELSE (b - a) / greatest(a, b) END AS s FROM ab)"""

@@ -71,6 +71,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work at least one partition per core.
+
+    A small file is one scan partition; on a cluster, inputs already have
+    many splits and this is a no-op.  Use on scans only (no shuffle below).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``small`` only after proving its row count is below ``max_rows``.
 
