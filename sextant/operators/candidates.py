@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions.text import render_extraction_prompt
 from sextant.operators.tokens import rule_annotate, token_at
+from sextant.session import cut_lineage
 
 PLACEHOLDER = "NONE"
 MODIFIER_DEPS = ["compound", "amod"]
@@ -73,26 +74,33 @@ def _sorted_texts(name: str, desc: bool = False) -> Column:
 def explode_pairs(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
     """D3-D5 in long form: ``(id, pair_no, token_i, action, object, pair)`` per ``dobj`` token.
 
-    Objects (with their verb looked up in the array), modifiers and negations
-    are exploded separately - each a small subset of the tokens - and matched
-    with equi-joins on ``(id, head)`` (J8); only those subsets are shuffled.
+    One pass over the token arrays emits only the tokens that matter - objects
+    (with their verb looked up in the array), modifiers and negations - as one
+    small table, checkpointed so the annotation upstream runs once.  Objects
+    are then matched with their modifiers and negations by equi-joins on
+    ``(id, head)`` (J8), linear in the tokens however many objects a text has.
     """
     tokens = F.col(tokens_col)
-    objs = df.select(id_col, F.posexplode(F.transform(
-        _dobjs(tokens),
-        lambda o: F.struct(o["i"].alias("oi"), o["text"].alias("otext"),
-                           token_at(tokens, o["head"]).alias("verb")))).alias("pair_no", "o"))
-    objs = objs.select(id_col, "pair_no", "o.oi", "o.otext", F.col("o.verb.i").alias("vi"),
-                       F.col("o.verb.text").alias("vtext"), F.col("o.verb.dep").alias("vdep"),
-                       F.col("o.verb.head").alias("vhead"))
-
-    def subset(deps):
-        picked = df.select(id_col, F.explode(F.filter(tokens, lambda t: t["dep"].isin(deps))).alias("t"))
-        return picked.select(id_col, F.col("t.i").alias("_i"), F.col("t.text").alias("_text"),
-                             F.col("t.head").alias("_head"))
-
-    mods = subset(MODIFIER_DEPS)
-    negs = subset(["neg"])
+    nul_i, nul_s = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def item(kind, t, k=None, verb=None):
+        return F.struct(F.lit(kind).alias("kind"), (k if k is not None else nul_i).alias("pair_no"),
+                        t["i"].alias("_i"), t["text"].alias("_text"), t["head"].alias("_head"),
+                        (verb["i"] if verb is not None else nul_i).alias("vi"),
+                        (verb["text"] if verb is not None else nul_s).alias("vtext"),
+                        (verb["dep"] if verb is not None else nul_s).alias("vdep"),
+                        (verb["head"] if verb is not None else nul_i).alias("vhead"))
+
+    items = df.select(id_col, F.explode(F.concat(
+        F.transform(_dobjs(tokens), lambda o, k: item("o", o, k, token_at(tokens, o["head"]))),
+        F.transform(F.filter(tokens, lambda t: t["dep"].isin(MODIFIER_DEPS)), lambda m: item("m", m)),
+        F.transform(F.filter(tokens, lambda t: t["dep"] == "neg"), lambda n: item("n", n)))).alias("t")
+    ).select(id_col, "t.*")
+    items = cut_lineage(items)
+    objs = items.where(F.col("kind") == "o").select(id_col, "pair_no", F.col("_i").alias("oi"),
+                                                   F.col("_text").alias("otext"), "vi", "vtext", "vdep", "vhead")
+    mods = items.where(F.col("kind") == "m").select(id_col, "_i", "_text", "_head")
+    negs = items.where(F.col("kind") == "n").select(id_col, "_i", "_text", "_head")
     obj_mods = (objs.select(id_col, "oi", F.col("oi").alias("_head")).join(mods, [id_col, "_head"])
                 .where(F.col("_i") < F.col("oi"))
                 .groupBy(id_col, "oi").agg(_sorted_texts("mods")))

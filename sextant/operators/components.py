@@ -7,6 +7,10 @@ so the fixed point labels every component with its smallest id.  The
 driver sees one number per round (the label sum), never the graph.  Each
 round's labels are checkpointed to the session's reliable checkpoint folder,
 which keeps the lineage short and survives executor loss.
+
+Per-node tables (labels) are broadcast when the node count, counted once,
+is under the broadcast bound: a round then shuffles only the edge-side
+minimum.  Above the bound every join is a shuffle join.
 """
 
 from __future__ import annotations
@@ -15,18 +19,26 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.session import cut_lineage
+from sextant.session import BROADCAST_ROW_LIMIT, cut_lineage
+
+
+def node_side(df: DataFrame, small: bool) -> DataFrame:
+    """Broadcast a per-node table when the node count was proven small."""
+    return F.broadcast(df) if small else df
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str] | None = None,
-                         id_col: str = "id", max_rounds: int = 200) -> DataFrame:
+                         id_col: str = "id", max_rounds: int = 200, n_nodes: int | None = None) -> DataFrame:
     """``(key.., id, root)`` where ``root`` is the smallest id of the node's component.
 
     ``nodes``: ``(key.., id)``; ``edges``: undirected ``(key.., i, j)`` over those nodes.
     ``key_cols`` separate independent graphs (e.g. one per sweep run) that are
-    solved together in the same jobs.
+    solved together in the same jobs.  ``n_nodes`` may pass a known node count.
     """
     k = list(key_cols or [])
+    if n_nodes is None:
+        n_nodes = nodes.count()
+    small = n_nodes <= BROADCAST_ROW_LIMIT
     e = edges.select(*k, "i", "j")
     e = e.unionByName(e.select(*k, F.col("j").alias("i"), F.col("i").alias("j")))
     e = e.persist(StorageLevel.MEMORY_AND_DISK)
@@ -39,12 +51,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str]
     total = labels.agg(F.sum("label")).first()[0] or 0
 
     for _ in range(max_rounds):
-        nbr = (e.join(labels.select(*k, F.col("id").alias("j"), F.col("label").alias("l")), k + ["j"])
-                .groupBy(*k, "i").agg(F.min("l").alias("m")))
-        step = (labels.join(nbr.withColumnRenamed("i", "id"), k + ["id"], "left")
+        lab_j = node_side(labels.select(*k, F.col("id").alias("j"), F.col("label").alias("l")), small)
+        nbr = e.join(lab_j, k + ["j"]).groupBy(*k, "i").agg(F.min("l").alias("m"))
+        step = (labels.join(node_side(nbr.withColumnRenamed("i", "id"), small), k + ["id"], "left")
                 .select(*k, "id", F.least("label", F.coalesce("m", "label")).alias("label")))
         hop = step.select(*k, F.col("id").alias("label"), F.col("label").alias("l2"))
-        jumped = (step.join(hop, k + ["label"], "left")
+        jumped = (step.join(node_side(hop, small), k + ["label"], "left")
                   .select(*k, "id", F.least("label", F.coalesce("l2", "label")).alias("label")))
         labels = cut_lineage(jumped)
         new_total = labels.agg(F.sum("label")).first()[0] or 0

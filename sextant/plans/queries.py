@@ -31,6 +31,7 @@ from sextant.operators.embedding import hashed_counts, hashed_embedding
 from sextant.operators.inference import first_candidate_responder
 from sextant.operators.ordering import dense_index
 from sextant.operators.tokens import rule_annotate, token_heads
+from sextant.session import cut_lineage
 from sextant.sources.tables import table
 
 R = 6  # output decimals
@@ -66,8 +67,13 @@ def doc_tokens(spark, sf) -> DataFrame:
 
 
 def doc_candidates(spark, sf) -> DataFrame:
-    """(id, text, intent, cluster_id, candidate_intent) with D2 candidates."""
-    return C.action_object_ext(doc_tokens(spark, sf)).drop("tokens")
+    """(id, intent, cluster_id, candidate_intent) with D2 candidates, materialised once.
+
+    The narrow table is checkpointed: every later branch (labels, report,
+    joins) reads it instead of re-running the annotation.
+    """
+    c = C.action_object_ext(doc_tokens(spark, sf)).select("id", "intent", "cluster_id", "candidate_intent")
+    return cut_lineage(c)
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -494,8 +500,9 @@ def q_intent_pipeline(spark, sf):
     """Flagship: hashed embedding -> cosine DBSCAN -> candidates -> labels -> report."""
     vecs = doc_vectors(spark, sf)
     clusters = D.dbscan(vecs, PIPE_EPS, PIPE_MS)
-    cands = C.action_object_ext(rule_annotate(docs(spark, sf).drop("cluster_id"))).drop("tokens")
-    rows = cands.join(clusters, "id")
+    cands = C.action_object_ext(rule_annotate(docs(spark, sf).drop("cluster_id"))).select(
+        "id", "intent", "candidate_intent")
+    rows = cut_lineage(cands.join(clusters, "id"))
     gen = L.label_most_frequent(rows)
     rep = E.label_report(rows.join(gen, "cluster_id").select("id", "cluster_id", "intent", "generated"),
                          dataset="documents", pascal_case=False, dim=DOC_DIM)
