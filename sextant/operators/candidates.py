@@ -71,15 +71,22 @@ def _sorted_texts(name: str, desc: bool = False) -> Column:
     return F.transform(arr, lambda s: s["_text"]).alias(name)
 
 
-def explode_pairs(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
+def _keys(id_col: str | list[str]) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def explode_pairs(df: DataFrame, id_col: str | list[str] = "id", tokens_col: str = "tokens") -> DataFrame:
     """D3-D5 in long form: ``(id, pair_no, token_i, action, object, pair)`` per ``dobj`` token.
 
+    ``id_col`` may be a list of columns forming the row key (e.g. ``dataset, id``).
+
     One pass over the token arrays emits only the tokens that matter - objects
     (with their verb looked up in the array), modifiers and negations - as one
     small table, checkpointed so the annotation upstream runs once.  Objects
     are then matched with their modifiers and negations by equi-joins on
     ``(id, head)`` (J8), linear in the tokens however many objects a text has.
     """
+    keys = _keys(id_col)
     tokens = F.col(tokens_col)
     nul_i, nul_s = F.lit(None).cast("int"), F.lit(None).cast("string")
 
@@ -91,38 +98,39 @@ def explode_pairs(df: DataFrame, id_col: str = "id", tokens_col: str = "tokens")
                         (verb["dep"] if verb is not None else nul_s).alias("vdep"),
                         (verb["head"] if verb is not None else nul_i).alias("vhead"))
 
-    items = df.select(id_col, F.explode(F.concat(
+    items = df.select(*keys, F.explode(F.concat(
         F.transform(_dobjs(tokens), lambda o, k: item("o", o, k, token_at(tokens, o["head"]))),
         F.transform(F.filter(tokens, lambda t: t["dep"].isin(MODIFIER_DEPS)), lambda m: item("m", m)),
         F.transform(F.filter(tokens, lambda t: t["dep"] == "neg"), lambda n: item("n", n)))).alias("t")
-    ).select(id_col, "t.*")
+    ).select(*keys, "t.*")
     items = cut_lineage(items)
-    objs = items.where(F.col("kind") == "o").select(id_col, "pair_no", F.col("_i").alias("oi"),
+    objs = items.where(F.col("kind") == "o").select(*keys, "pair_no", F.col("_i").alias("oi"),
                                                    F.col("_text").alias("otext"), "vi", "vtext", "vdep", "vhead")
-    mods = items.where(F.col("kind") == "m").select(id_col, "_i", "_text", "_head")
-    negs = items.where(F.col("kind") == "n").select(id_col, "_i", "_text", "_head")
-    obj_mods = (objs.select(id_col, "oi", F.col("oi").alias("_head")).join(mods, [id_col, "_head"])
+    mods = items.where(F.col("kind") == "m").select(*keys, "_i", "_text", "_head")
+    negs = items.where(F.col("kind") == "n").select(*keys, "_i", "_text", "_head")
+    obj_mods = (objs.select(*keys, "oi", F.col("oi").alias("_head")).join(mods, keys + ["_head"])
                 .where(F.col("_i") < F.col("oi"))
-                .groupBy(id_col, "oi").agg(_sorted_texts("mods")))
-    by_head = (objs.select(id_col, "oi", F.col("vi").alias("_head"))
-               .join(negs, [id_col, "_head"]).select(id_col, "oi", "_i", "_text"))
-    by_xcomp = (objs.where(F.col("vdep") == "xcomp").select(id_col, "oi", F.col("vhead").alias("_head"))
-                .join(negs, [id_col, "_head"]).select(id_col, "oi", "_i", "_text"))
+                .groupBy(*keys, "oi").agg(_sorted_texts("mods")))
+    by_head = (objs.select(*keys, "oi", F.col("vi").alias("_head"))
+               .join(negs, keys + ["_head"]).select(*keys, "oi", "_i", "_text"))
+    by_xcomp = (objs.where(F.col("vdep") == "xcomp").select(*keys, "oi", F.col("vhead").alias("_head"))
+                .join(negs, keys + ["_head"]).select(*keys, "oi", "_i", "_text"))
     obj_negs = (by_head.unionByName(by_xcomp).distinct()
-                .groupBy(id_col, "oi").agg(_sorted_texts("negs", desc=True)))
+                .groupBy(*keys, "oi").agg(_sorted_texts("negs", desc=True)))
     empty = F.array().cast("array<string>")
-    out = (objs.join(obj_mods, [id_col, "oi"], "left").join(obj_negs, [id_col, "oi"], "left")
-           .select(id_col, "pair_no", F.col("oi").alias("token_i"),
+    out = (objs.join(obj_mods, keys + ["oi"], "left").join(obj_negs, keys + ["oi"], "left")
+           .select(*keys, "pair_no", F.col("oi").alias("token_i"),
                    F.array_join(F.concat(F.coalesce("negs", empty), F.array("vtext")), "_").alias("action"),
                    F.array_join(F.concat(F.coalesce("mods", empty), F.array("otext")), "_").alias("object")))
     return out.withColumn("pair", F.concat_ws("-", "action", "object"))
 
 
-def action_object_ext(df: DataFrame, tokens_col: str = "tokens", id_col: str = "id") -> DataFrame:
+def action_object_ext(df: DataFrame, tokens_col: str = "tokens", id_col: str | list[str] = "id") -> DataFrame:
     """First pair of D3 with negations and modifiers, original case; none -> ``NONE``."""
-    first = (explode_pairs(df, id_col, tokens_col).where(F.col("pair_no") == 0)
-             .select(id_col, F.col("pair").alias("_first")))
-    return (df.join(first, id_col, "left")
+    keys = _keys(id_col)
+    first = (explode_pairs(df, keys, tokens_col).where(F.col("pair_no") == 0)
+             .select(*keys, F.col("pair").alias("_first")))
+    return (df.join(first, keys, "left")
             .withColumn("candidate_intent", F.coalesce("_first", F.lit(PLACEHOLDER))).drop("_first"))
 
 
@@ -158,8 +166,12 @@ METHODS = {"action-object": "action-object", "liu": "action-object",
 
 
 def extract(df: DataFrame, method: str, text_col: str = "text", generate: Callable | None = None,
-            tokens_col: str = "tokens", id_col: str = "id") -> DataFrame:
-    """Candidate extraction by method name (aliases of the notebooks accepted)."""
+            tokens_col: str = "tokens", id_col: str | list[str] = "id") -> DataFrame:
+    """Candidate extraction by method name (aliases of the notebooks accepted).
+
+    ``id_col`` names the row key; pass ``["dataset", "id"]`` when several
+    datasets (each numbering its rows from 0) are extracted together.
+    """
     if method not in METHODS:
         raise ValueError(f"unsupported extraction method {method!r}")
     kind = METHODS[method]

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sextant.functions.text import strip_suffix
 
 UTTERANCE_COLUMNS = ("id", "text", "intent")
+RAW_SCHEMA = "c0 string, c1 string, c2 string"
+_POS = ("c0", "c1", "c2")
 
 
 def _reader(spark: SparkSession):
@@ -35,19 +37,46 @@ def read_utterances(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("id").cast("long").alias("id"), F.col("text"), F.col("intent"))
 
 
+def bind_by_header(raw: DataFrame) -> DataFrame:
+    """Positional strings ``c0..c2`` + ``file_name`` -> ``(dataset, id, text, intent)`` by header names.
+
+    Each file's header row is the row holding the three column names
+    (a data row cannot: its ``id`` is an integer).  Header rows - one per
+    file, so bounded by the file listing - are broadcast back onto the
+    body rows of the same file, and every column is picked by name.
+    ``label`` is accepted for ``intent`` (P2).
+    """
+    names = F.array(*[F.col(c) for c in _POS])
+    is_header = (F.array_contains(names, "id") & F.array_contains(names, "text")
+                 & (F.array_contains(names, "intent") | F.array_contains(names, "label")))
+    header = raw.where(is_header).select(
+        "file_name", *[F.when(F.col(c) == "label", "intent").otherwise(F.col(c)).alias("h" + c) for c in _POS])
+    body = raw.where(~is_header).join(F.broadcast(header), "file_name")
+
+    def pick(name):
+        expr = F.when(F.col("hc0") == name, F.col("c0"))
+        for c in _POS[1:]:
+            expr = expr.when(F.col("h" + c) == name, F.col(c))
+        return expr
+
+    return body.select(strip_suffix("file_name").alias("dataset"), pick("id").cast("long").alias("id"),
+                       pick("text").alias("text"), pick("intent").alias("intent"))
+
+
 def read_dataset_dir(spark: SparkSession, directory: str, exclude: str | None = None) -> DataFrame:
     """Every ``*.csv`` of a folder, with ``dataset`` = file name minus ``.csv``.
 
-    All files are read in one scan; the dataset name comes from the file
-    metadata column, and ``exclude`` drops names that contain it (S3).
-    Column order differs between files, so each header is applied by name.
+    All files are read in one scan as positional strings; the dataset name
+    comes from the file metadata column, ``exclude`` drops names that
+    contain it (S3), and each file's own header binds its columns by name
+    (:func:`bind_by_header`), since column order differs between files.
     """
-    df = normalise_truth_column(
-        _reader(spark).csv(f"{directory.rstrip('/')}/*.csv").select("*", "_metadata.file_name"))
-    df = df.withColumn("dataset", strip_suffix("file_name"))
+    raw = (spark.read.schema(RAW_SCHEMA).option("header", False).option("escape", '"')
+           .option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.csv")
+           .csv(directory).select("*", F.col("_metadata.file_name").alias("file_name")))
     if exclude:
-        df = df.where(~F.col("dataset").contains(exclude))
-    return df.select(F.col("id").cast("long").alias("id"), "text", "intent", "dataset")
+        raw = raw.where(~F.col("file_name").contains(exclude))
+    return bind_by_header(raw).select("id", "text", "intent", "dataset")
 
 
 def read_stage_csv(spark: SparkSession, path: str) -> DataFrame:
