@@ -1,21 +1,23 @@
-"""Connected components as iterated DataFrame joins.
+"""Connected components as DataFrame joins: propagate, jump, contract, recurse.
 
-Min-label propagation with pointer jumping: each round every node takes the
-smallest label among itself and its neighbours, then jumps to its label's
-label.  Labels only decrease and always name a node of the same component,
-so the fixed point labels every component with its smallest id.  The
-driver sees one number per round (the label sum), never the graph.  Each
-round's labels are checkpointed to the session's reliable checkpoint folder,
-which keeps the lineage short and survives executor loss.
+A level takes the smallest label among each node and its neighbours twice,
+with a pointer jump after the second step (a label moves to its label's
+label), so labels spread over doubling distances.  The edges are then
+contracted to the labels, dropping those that fall inside one label class;
+the contracted graph, usually far smaller (near-duplicate cliques collapse
+at once), is solved by the next level and its roots are mapped back.
+Labels only decrease and always name a node of the same component, so the
+final label is the component's smallest id.  The driver sees one emptiness
+test per level, never the graph.  Every intermediate is checkpointed to the
+session's reliable checkpoint folder, which keeps the lineage short and
+survives executor loss.
 
-Per-node tables (labels) are broadcast when the node count, counted once,
-is under the broadcast bound: a round then shuffles only the edge-side
-minimum.  Above the bound every join is a shuffle join.
+Per-node tables are broadcast when the node count, counted once, is under
+the broadcast bound; above it every join is a shuffle join.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def node_side(df: DataFrame, small: bool) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str] | None = None,
-                         id_col: str = "id", max_rounds: int = 200, n_nodes: int | None = None) -> DataFrame:
+                         id_col: str = "id", max_rounds: int = 64, n_nodes: int | None = None) -> DataFrame:
     """``(key.., id, root)`` where ``root`` is the smallest id of the node's component.
 
     ``nodes``: ``(key.., id)``; ``edges``: undirected ``(key.., i, j)`` over those nodes.
@@ -39,29 +41,36 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str]
     if n_nodes is None:
         n_nodes = nodes.count()
     small = n_nodes <= BROADCAST_ROW_LIMIT
-    e = edges.select(*k, "i", "j")
-    e = e.unionByName(e.select(*k, F.col("j").alias("i"), F.col("i").alias("j")))
-    e = e.persist(StorageLevel.MEMORY_AND_DISK)
-
-    first = e.groupBy(*k, "i").agg(F.min("j").alias("m"))
-    labels = (nodes.select(*k, F.col(id_col).alias("id"))
-              .join(first.withColumnRenamed("i", "id"), k + ["id"], "left")
-              .select(*k, "id", F.least(F.col("id"), F.coalesce("m", "id")).alias("label")))
-    labels = cut_lineage(labels)
-    total = labels.agg(F.sum("label")).first()[0] or 0
-
+    e = edges.select(*k, "i", "j").where(F.col("i") != F.col("j"))
+    e = cut_lineage(e.unionByName(e.select(*k, F.col("j").alias("i"), F.col("i").alias("j"))))
+    labels = nodes.select(*k, F.col(id_col).alias("id"), F.col(id_col).alias("label"))
+    levels = []
     for _ in range(max_rounds):
-        lab_j = node_side(labels.select(*k, F.col("id").alias("j"), F.col("label").alias("l")), small)
+        # first step: smallest neighbour id
+        first = e.groupBy(*k, "i").agg(F.min("j").alias("m"))
+        lab = cut_lineage(labels.select(*k, "id").join(first.withColumnRenamed("i", "id"), k + ["id"], "left")
+                          .select(*k, "id", F.least(F.col("id"), F.coalesce("m", "id")).alias("label")))
+        # second step over the neighbours' labels, then one pointer jump
+        lab_j = node_side(lab.select(*k, F.col("id").alias("j"), F.col("label").alias("l")), small)
         nbr = e.join(lab_j, k + ["j"]).groupBy(*k, "i").agg(F.min("l").alias("m"))
-        step = (labels.join(node_side(nbr.withColumnRenamed("i", "id"), small), k + ["id"], "left")
+        step = (lab.join(node_side(nbr.withColumnRenamed("i", "id"), small), k + ["id"], "left")
                 .select(*k, "id", F.least("label", F.coalesce("m", "label")).alias("label")))
         hop = step.select(*k, F.col("id").alias("label"), F.col("label").alias("l2"))
-        jumped = (step.join(node_side(hop, small), k + ["label"], "left")
-                  .select(*k, "id", F.least("label", F.coalesce("l2", "label")).alias("label")))
-        labels = cut_lineage(jumped)
-        new_total = labels.agg(F.sum("label")).first()[0] or 0
-        if new_total == total:
+        lab = cut_lineage(step.join(node_side(hop, small), k + ["label"], "left")
+                          .select(*k, "id", F.least("label", F.coalesce("l2", "label")).alias("label")))
+        levels.append(lab)
+        # contract the edges to the label classes
+        li = node_side(lab.select(*k, F.col("id").alias("i"), F.col("label").alias("li")), small)
+        lj = node_side(lab.select(*k, F.col("id").alias("j"), F.col("label").alias("lj")), small)
+        e = cut_lineage(e.join(li, k + ["i"]).join(lj, k + ["j"]).where(F.col("li") != F.col("lj"))
+                        .select(*k, F.col("li").alias("i"), F.col("lj").alias("j")).distinct())
+        if e.isEmpty():
             break
-        total = new_total
-    e.unpersist()
-    return labels.withColumnRenamed("id", id_col).withColumnRenamed("label", "root")
+        labels = lab.select(*k, F.col("label").alias("id")).distinct().select(*k, "id", F.col("id").alias("label"))
+    # map back: a level's label is a node of the next level
+    root = levels[-1].select(*k, "id", F.col("label").alias("root"))
+    for lab in reversed(levels[:-1]):
+        up = node_side(root.select(*k, F.col("id").alias("label"), F.col("root").alias("_r")), small)
+        root = cut_lineage(lab.join(up, k + ["label"], "left")
+                           .select(*k, "id", F.coalesce("_r", "label").alias("root")))
+    return root.withColumnRenamed("id", id_col)

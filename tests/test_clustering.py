@@ -201,6 +201,51 @@ def test_connected_components_path(spark):
     assert len(set(roots.values())) == 2
 
 
+def _union_find_roots(n, edges):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+    return {i: find(i) for i in range(n)}
+
+
+def test_connected_components_random_keyed_graphs(spark):
+    """Several graphs solved together (one per key) against union-find."""
+    rng = random.Random(11)
+    node_rows, edge_rows, want = [], [], {}
+    shapes = ["sparse", "clique", "path", "star", "empty"]
+    for key, shape in enumerate(shapes * 2):
+        n = rng.randint(20, 60)
+        ids = list(range(n))
+        rng.shuffle(ids)
+        if shape == "sparse":
+            edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+        elif shape == "clique":
+            half = ids[: n // 2]
+            edges = [(a, b) for a in half for b in half if a < b]
+        elif shape == "path":
+            edges = [(ids[t], ids[t + 1]) for t in range(n - 1)]
+        elif shape == "star":
+            edges = [(n - 1, t) for t in range(0, n - 1, 2)]
+        else:
+            edges = []
+        node_rows += [(key, i) for i in range(n)]
+        edge_rows += [(key, a, b) for a, b in edges]
+        want.update({(key, i): r for i, r in _union_find_roots(n, edges).items()})
+    nodes = spark.createDataFrame(node_rows, "g int, id long")
+    e = spark.createDataFrame(edge_rows, "g int, i long, j long")
+    got = {(r["g"], r["id"]): r["root"] for r in connected_components(nodes, e, ["g"]).collect()}
+    assert got == want
+
+
 def _attempts(spark, labelings):
     rows = [(p, i, int(c)) for p, lab in enumerate(labelings) for i, c in enumerate(lab)]
     return spark.createDataFrame(rows, "param_idx int, id long, cluster_id int")
