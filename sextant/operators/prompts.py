@@ -5,7 +5,8 @@ while the filled template stays within 512 words.  The word arithmetic is
 done per utterance on the JVM side (word count, plus one when the text is
 empty or ends in whitespace, because the ", " or "." that follows it then
 stands alone as a word).  The fold itself runs in ``mapInPandas`` over
-rows range-sorted by (cluster, rank): it streams Arrow batches with O(1)
+rows hash-partitioned by cluster and sorted by (cluster, rank): it streams
+Arrow batches with O(1)
 state (the open prompt), so memory does not grow with a cluster's size.
 """
 
