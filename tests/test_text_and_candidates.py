@@ -133,3 +133,47 @@ def test_extract_dispatch(spark):
         raise AssertionError("expected ValueError")
     except ValueError:
         pass
+
+
+def _brute_hashed(texts, dim):
+    import hashlib
+    import math
+
+    import regex
+
+    out = {}
+    for i, t in texts:
+        counts = {}
+        for w in regex.split(r"[^\p{L}\p{N}_]+", (t or "").lower()):
+            if w:
+                b = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim
+                counts[b] = counts.get(b, 0) + 1
+        norm = math.sqrt(sum(c * c for c in counts.values()))
+        out[i] = {b: (c, c / norm) for b, c in counts.items()}
+    return out
+
+
+def test_hashed_embedding_matches_brute_force(spark):
+    from sextant.operators.embedding import hashed_counts, hashed_embedding
+
+    dim = 16
+    long_text = " ".join(f"w{k % 37}" for k in range(5000))
+    texts = [(0, "Reset the password, reset it now!"), (1, ""), (2, None), (3, "éclair Überweisung naïve café"),
+             (4, "a_b a-b a.b 42 42 42"), (5, "   "), (6, long_text)]
+    texts += [(7 + k, f"item {k} of the batch item") for k in range(300)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    want = _brute_hashed(texts, dim)
+    got = {}
+    for r in hashed_counts(df, dim).collect():
+        got.setdefault(r["id"], {})[r["bucket"]] = (r["cnt"], r["weight"])
+    assert set(got) == {i for i, cells in want.items() if cells}
+    for i, cells in got.items():
+        assert {b: c for b, (c, _) in cells.items()} == {b: c for b, (c, _) in want[i].items()}
+        for b, (_, w) in cells.items():
+            assert abs(w - want[i][b][1]) < 1e-12
+    dense = {r["id"]: r["embedding"] for r in hashed_embedding(df, dim).collect()}
+    assert set(dense) == {i for i, _ in texts}
+    for i, vec in dense.items():
+        assert len(vec) == dim
+        for b in range(dim):
+            assert abs(vec[b] - want[i].get(b, (0, 0.0))[1]) < 1e-12
