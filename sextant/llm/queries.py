@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.llm import language, quality
 from sextant.llm.common import table
 from sextant.llm.decontamination import ORACLE_OP9, contamination
+from sextant.llm.neighbours import learned_partition_search
 from sextant.llm.packing import best_fit_pack
 from sextant.llm.sharding import bounded_ring_shards
 from sextant.llm.token_counts import token_counts
@@ -31,6 +32,10 @@ def op7_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op8_learned_partition_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partition_search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
 
@@ -40,7 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op4_language_id, op7_bounded_ring_sharding,
-                                  op9_benchmark_decontamination, op10_best_fit_packing)}
+                                  op8_learned_partition_neighbours, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": ORACLE_OP9}
