@@ -10,6 +10,7 @@ from sextant.llm.common import table
 from sextant.llm.decontamination import ORACLE_OP9, contamination
 from sextant.llm.neighbours import learned_partition_search
 from sextant.llm.packing import best_fit_pack
+from sextant.llm.phrases import ORACLE_OP6, remove_repeated_windows
 from sextant.llm.sharding import bounded_ring_shards
 from sextant.llm.token_counts import token_counts
 
@@ -28,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op6_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring_shards(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -44,8 +49,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op4_language_id, op7_bounded_ring_sharding,
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op4_language_id, op6_phrase_automata_dedup, op7_bounded_ring_sharding,
                                   op8_learned_partition_neighbours, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op9_benchmark_decontamination": ORACLE_OP9}
+ORACLE_SQL: dict[str, str] = {"op6_phrase_automata_dedup": ORACLE_OP6, "op9_benchmark_decontamination": ORACLE_OP9}
