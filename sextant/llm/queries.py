@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.llm import language, quality
 from sextant.llm.common import table
 from sextant.llm.decontamination import ORACLE_OP9, contamination
+from sextant.llm.jaccard import jaccard_components
 from sextant.llm.neighbours import learned_partition_search
 from sextant.llm.packing import best_fit_pack
 from sextant.llm.phrases import ORACLE_OP6, remove_repeated_windows
@@ -15,6 +16,10 @@ from sextant.llm.sharding import bounded_ring_shards
 from sextant.llm.token_counts import token_counts
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -49,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_quality_classifier, op4_language_id, op6_phrase_automata_dedup, op7_bounded_ring_sharding,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_language_id, op6_phrase_automata_dedup, op7_bounded_ring_sharding,
                                   op8_learned_partition_neighbours, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express.
