@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sextant.session import ensure_checkpoint_dir
 
@@ -60,3 +61,8 @@ def arange_groups(lengths: np.ndarray) -> np.ndarray:
     """0, 1, .. within each of consecutive groups of the given lengths."""
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def result_schema(docs: DataFrame, names: dict[str, str], more: str) -> StructType:
+    """Columns of ``docs`` under new names (new: old), then those of the DDL string ``more``."""
+    return StructType([*(StructField(new, docs.schema[old].dataType) for new, old in names.items()), *StructType.fromDDL(more)])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sextant.llm.common import as_bytes, byte_groups, stored
+from sextant.llm.common import as_bytes, byte_groups, result_schema, stored
 from sextant.llm.wordhash import anchors, run_hashes, word_hashes
 
 #: Words of a phrase.
@@ -31,18 +32,27 @@ CHUNK_BYTES = 2 << 20
 GROUP_BYTES = 1 << 20
 
 
-def _phrase_anchors(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the phrases that are the least in some window."""
-    hashes = run_hashes(word_hashes(b" ".join(words)), PHRASE)
-    at = anchors(hashes, window - PHRASE + 1)
-    return at, hashes[at]
+def _phrase_anchors(split: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of the phrases that are the least in some window, over texts as lists of words."""
+    n_words = np.array([len(w) for w in split], dtype=np.int64)
+    hashes = run_hashes(word_hashes(b" ".join(chain.from_iterable(split))), PHRASE)
+    # phrases that run over a text's end lie in no window of one text
+    at = anchors(hashes, window - PHRASE + 1, _phrases_of(n_words))
+    text = np.searchsorted(np.cumsum(n_words), at, side="right")
+    return text, at - (np.cumsum(n_words) - n_words)[text], hashes[at].view(np.int64)
+
+
+def _phrases_of(n_words: np.ndarray) -> np.ndarray:
+    """Starts that each text has in the row of all words; a text's last ones, cut off by its end, are split off."""
+    tails = np.minimum(n_words, PHRASE - 1)
+    return np.stack([n_words - tails, tails], axis=1).ravel()
 
 
 def _window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window."""
+    """Two independent hashes of every window, of 64 and 15 bits."""
     joined = b" ".join(words)
-    second = run_hashes(word_hashes(joined, 1), window, 1) >> np.uint64(32)
-    return run_hashes(word_hashes(joined), window).view(np.int64), second.astype(np.int64)
+    second = run_hashes(word_hashes(joined, 1), window, 1) >> np.uint64(49)
+    return run_hashes(word_hashes(joined), window).view(np.int64), second.astype(np.int16)
 
 
 def _count(keys: list[np.ndarray]) -> list[np.ndarray]:
@@ -61,30 +71,48 @@ def _phrase_counts(docs: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
-            for i, j in byte_groups(texts, 8 * GROUP_BYTES):
-                found = [_phrase_anchors((texts[k] or b"").split(), window)[1] for k in range(i, j)]
-                of = np.repeat(chunks[i:j], [len(f) for f in found])
-                chunk, phrase, n = _count([of, np.concatenate(found).view(np.int64)])
+            for i, j in byte_groups(texts, GROUP_BYTES):
+                of, _, hashes = _phrase_anchors([(t or b"").split() for t in texts[i:j]], window)
+                chunk, phrase, n = _count([chunks[i:j][of], hashes])
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(phrase), pa.array(n, pa.int64())], ["chunk", "phrase", "n"])
 
     return docs.select("chunk", "text").mapInArrow(scan, "chunk int, phrase long, n long")
 
 
-def _recurring(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """``(chunk, keys)`` of keys that occur at least twice in all; a key has a row per chunk at most once summed."""
-    per_chunk = counts.groupBy("chunk", *keys).agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    return per_chunk.withColumn("total", total).where("total > 1").select("chunk", *keys)
+def _recurring_phrases(counts: DataFrame) -> DataFrame:
+    """``(chunk, phrase)`` of phrases that occur at least twice in all; summed, a phrase has one row per chunk."""
+    per_chunk = counts.groupBy("chunk", "phrase").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("phrase"))
+    return per_chunk.withColumn("total", total).where("total > 1").select("chunk", "phrase")
+
+
+def _single_windows(counts: DataFrame) -> DataFrame:
+    """``(chunk, h, g)`` of windows that occur once in all; the counts are a chunk's, so a window has few rows."""
+    total = F.sum("n").over(Window.partitionBy("h", "g"))
+    return counts.withColumn("total", total).where("total = 1").select("chunk", "h", "g")
+
+
+def _among(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
+    """Which pairs (h, g) are among the known ones."""
+    order = np.argsort(known_h, kind="stable")
+    known_h, known_g = known_h[order], known_g[order]
+    lo, hi = np.searchsorted(known_h, h, "left"), np.searchsorted(known_h, h, "right")
+    found = hi > lo
+    found[found] = known_g[lo[found]] == g[found]
+    for i in np.flatnonzero(hi - lo > 1).tolist():
+        found[i] = (known_g[lo[i]:hi[i]] == g[i]).any()
+    return found
 
 
 def _locate(texts: list[bytes], recurring: np.ndarray, window: int) -> Iterator[np.ndarray]:
     """Starts of the windows around recurring phrases, per text, found by one automaton."""
     split = [t.split() for t in texts]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for words in split:
-        at, hashes = _phrase_anchors(words, window)
-        for k in at[np.isin(hashes.view(np.int64), recurring)].tolist():
-            automaton.add_word((b" " + b" ".join(words[k:k + PHRASE]) + b" ").decode())
+    of, at, hashes = _phrase_anchors(split, window)
+    first = np.unique(hashes, return_index=True)[1]  # a phrase goes in once
+    first = first[np.isin(hashes[first], recurring)]
+    for t, k in zip(of[first].tolist(), at[first].tolist()):
+        automaton.add_word((b" " + b" ".join(split[t][k:k + PHRASE]) + b" ").decode())
     if not len(automaton):
         yield from (np.empty(0, dtype=np.int64) for _ in split)
         return
@@ -149,11 +177,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
         raise ValueError(f"a window has at least {PHRASE} words")
     kept = keep or [id_col]
     names = [f"c{k}" for k in range(len(kept))]
-    types = [docs.schema[c].dataType.simpleString() for c in kept]
     arrow = [to_arrow_type(docs.schema[c].dataType) for c in kept]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names)], chunk_column(docs, id_col, text_col, chunk_bytes).alias("chunk"),
                        F.col(text_col).alias("text"))
-    recurring = _recurring(_phrase_counts(rows, window), ["phrase"])
+    recurring = _recurring_phrases(_phrase_counts(rows, window))
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -174,42 +201,37 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
 
     located = pa.schema([*zip(names, arrow), ("chunk", pa.int32()), ("n_words", pa.int64()),
                          ("sha", pa.string()), ("runs", pa.list_(pa.int32())), ("text", pa.string())])
-    fields = ", ".join(f"{n} {t}" for n, t in zip(names, types))
+    fields = dict(zip(names, kept))
     found = stored(rows.groupBy("chunk").cogroup(recurring.groupBy("chunk")).applyInArrow(
-        locate, f"{fields}, chunk int, n_words long, sha string, runs array<int>, text string"), "located")
+        locate, result_schema(docs, fields, "chunk int, n_words long, sha string, runs array<int>, text string")), "located")
     touched = found.where(F.size("runs") > 0)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks, runs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
-            for i, j in byte_groups(texts, 2 * GROUP_BYTES):
+            for i, j in byte_groups(texts, 6 * GROUP_BYTES):
                 parts = []
                 for k in range(i, j):
                     one, two = _window_hashes(texts[k].split(), window)
                     at = _expand(runs[k])
                     parts.append((np.full(len(at), chunks[k]), one[at], two[at]))
                 chunk, h, g, n = _count([np.concatenate(p) for p in zip(*parts)])
-                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(h), pa.array(g), pa.array(n, pa.int64())],
+                yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(h), pa.array(g), pa.array(n, pa.int32())],
                                                  ["chunk", "h", "g", "n"])
 
-    counts = touched.select("chunk", "runs", "text").mapInArrow(hashes, "chunk int, h long, g long, n long")
-    repeated = _recurring(counts, ["h", "g"])
+    counts = touched.select("chunk", "runs", "text").mapInArrow(hashes, "chunk int, h long, g short, n int")
+    single = _single_windows(counts)
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return removed.empty_table()
         h, g = right.column("h").to_numpy(), right.column("g").to_numpy()
-        known = np.sort(h)
-        checks = g[np.argsort(h, kind="stable")]
         n_removed, digests, texts = [], [], []
         for text, runs in zip(as_bytes(left.column("text").combine_chunks()), left.column("runs").to_pylist()):
             words = text.split()
             one, two = _window_hashes(words, window)
             at = _expand(runs)
-            place = np.searchsorted(known, one[at])
-            inside = place < len(known)
-            hit = np.zeros(len(at), dtype=bool)
-            hit[inside] = (known[place[inside]] == one[at][inside]) & (checks[place[inside]] == two[at][inside])
+            hit = ~_among(one[at], two[at], h, g)
             cover = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(cover, at[hit], 1)
             np.add.at(cover, at[hit] + window, -1)
@@ -222,8 +244,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
 
     removed = pa.schema([*zip(names, arrow), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                          ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-    changed = touched.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(
-        remove, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    changed = touched.groupBy("chunk").cogroup(single.groupBy("chunk")).applyInArrow(
+        remove, result_schema(docs, fields, "n_words long, n_removed long, kept_sha256 string, kept_text string"))
     untouched = found.where(F.size("runs") == 0).select(*names, "n_words", F.lit(0).cast("long").alias("n_removed"),
                                                         F.col("sha").alias("kept_sha256"), F.col("text").alias("kept_text"))
     out = untouched.unionByName(changed)

@@ -89,10 +89,16 @@ def sliding(values: np.ndarray, n: int, fold) -> np.ndarray:
     return fold(out[:len(values) - n + 1], out[n - span:][:len(values) - n + 1]) if span < n else out
 
 
-def anchors(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Places whose value is the least of some ``n`` consecutive ones: equal stretches have equal anchors."""
+def anchors(hashes: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
+    """Places whose value is the least of some ``n`` consecutive ones of one text.
+
+    ``hashes`` are the values of texts one behind the other, ``lengths`` how
+    many each has.  Equal stretches of ``n`` values have equal anchors.
+    """
     if len(hashes) < n:
         return np.empty(0, dtype=np.int64)
     least = sliding(hashes, n, np.minimum)
-    around = np.concatenate((np.zeros(n - 1, np.uint64), least, np.zeros(n - 1, np.uint64)))
+    left = np.repeat(np.cumsum(lengths), lengths)[:len(least)] - np.arange(len(least))  # values to the end of the text
+    least[left < n] = 0
+    around = np.concatenate((np.zeros(n - 1, U64), least, np.zeros(n - 1, U64)))
     return np.flatnonzero(sliding(around, n, np.maximum) == hashes)
