@@ -13,6 +13,7 @@ from sextant.llm.neighbours import learned_partition_search
 from sextant.llm.packing import best_fit_pack
 from sextant.llm.phrases import ORACLE_OP6, remove_repeated_windows
 from sextant.llm.sharding import bounded_ring_shards
+from sextant.llm.suffixes import remove_repeated_bytes
 from sextant.llm.token_counts import token_counts
 
 
@@ -34,6 +35,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), length=100)
+
+
 def op6_phrase_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), window=35)
 
@@ -54,7 +59,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_language_id, op6_phrase_automata_dedup, op7_bounded_ring_sharding,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_counts, op3_quality_classifier, op4_language_id, op5_suffix_array_dedup, op6_phrase_automata_dedup, op7_bounded_ring_sharding,
                                   op8_learned_partition_neighbours, op9_benchmark_decontamination, op10_best_fit_packing)}
 
 #: DuckDB SQL for the queries that SQL can express.
