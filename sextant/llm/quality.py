@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, held_out, unit_hash
+from sextant.llm.common import as_bytes, held_out, result_schema, unit_hash
 
 BLOCK = 2048
 DICTIONARY_BYTES = 112_640
@@ -92,8 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_bytes:
               .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct())
     found = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     share = F.element_at(F.create_map(*[F.lit(x) for k in (0, 1) for x in (k, per_label / max(1, found.get(k, 0)))]), F.col("label"))
-    sample = (usable.where(unit_hash("id") < share)
-              .join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
+    chosen = F.broadcast(usable.where(unit_hash("id") < share).limit(4 * per_label))  # so few rows
+    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
               .where(F.octet_length("text").between(1, max_bytes))
               .select("label", "text", unit_hash(F.lit("half"), "id").alias("u")))
     rows = sample.orderBy("u").limit(4 * per_label).collect()
@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: CompressionModel, threshold: float = 0.7, id_c
     held = [F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]
     rows = docs.select(*held, held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("t"))
     names = [f"c{k}" for k in range(len(keep))]
-    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep))
+    schema = result_schema(docs, dict(zip(names, keep)), "held_out boolean, score double, predicted int")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,5 +135,5 @@ def score(docs: DataFrame, model: CompressionModel, threshold: float = 0.7, id_c
                 [*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))],
                 [*names, "held_out", "score", "predicted"])
 
-    out = rows.mapInArrow(run, f"{schema}, held_out boolean, score double, predicted int")
+    out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "held_out", "score", "predicted")
