@@ -23,8 +23,10 @@ LABEL_PROMPT_EMPTY_WORDS = 16
 PLAIN_CASE_DATASETS = ["atis", "banking77", "bitext", "clinc", "personal_assistant",
                        "stack_overflow", "twacs"]
 
+# White space as ``str.split`` and ``str.strip`` know it: Unicode's, and four control characters.
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
 # Unicode-aware replacement for Python's ``[^\w\s]`` (Java's \w is ASCII only).
-_NON_WORD = r"[^\p{L}\p{N}_\s]"
+_NON_WORD = r"[^\p{L}\p{N}_\p{IsWhite_Space}\x1c-\x1f]"
 
 
 def _col(c) -> Column:
@@ -32,20 +34,20 @@ def _col(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Remove leading and trailing whitespace (``str.strip`` on ASCII space classes)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing whitespace, like ``str.strip``."""
+    return F.regexp_replace(_col(c), rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def normalize_text(c) -> Column:
     """Punctuation to space, lower, split on single spaces, strip, drop empties, join."""
     lowered = F.lower(F.regexp_replace(_col(c), _NON_WORD, " "))
-    parts = F.transform(F.split(lowered, " "), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(lowered, " "), strip_ws)
     return F.array_join(F.filter(parts, lambda t: t != ""), " ")
 
 
 def words(c) -> Column:
     """Whitespace tokens, like ``str.split()`` with no argument."""
-    return F.filter(F.split(_col(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(_col(c), f"{SPACE}+"), lambda w: w != "")
 
 
 def word_count(c) -> Column:

@@ -126,12 +126,18 @@ def explode_pairs(df: DataFrame, id_col: str | list[str] = "id", tokens_col: str
 
 
 def action_object_ext(df: DataFrame, tokens_col: str = "tokens", id_col: str | list[str] = "id") -> DataFrame:
-    """First pair of D3 with negations and modifiers, original case; none -> ``NONE``."""
-    keys = _keys(id_col)
-    first = (explode_pairs(df, keys, tokens_col).where(F.col("pair_no") == 0)
-             .select(*keys, F.col("pair").alias("_first")))
-    return (df.join(first, keys, "left")
-            .withColumn("candidate_intent", F.coalesce("_first", F.lit(PLACEHOLDER))).drop("_first"))
+    """First pair of D3 with negations and modifiers, original case; none -> ``NONE``.
+
+    Only a text's first object is looked at, so this is linear in its tokens
+    and stays in the row.  The generator over one element keeps the optimiser
+    from copying the tokens' own expression to each place that reads them.
+    """
+    held = df.withColumn("_tokens", F.explode(F.array(F.col(tokens_col))))
+    tokens = F.col("_tokens")
+    pairs = F.transform(F.slice(_dobjs(tokens), 1, 1),
+                        lambda o: F.concat_ws("-", action_phrase(tokens, o), object_phrase(tokens, o)))
+    first = F.coalesce(F.try_element_at(pairs, F.lit(1)), F.lit(PLACEHOLDER))
+    return held.withColumn("candidate_intent", first).drop("_tokens")
 
 
 def keep_candidates(df: DataFrame, col: str = "candidate_intent",

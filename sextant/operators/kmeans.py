@@ -82,15 +82,22 @@ def lloyd(vectors: DataFrame, init_centers: np.ndarray, steps: int, id_col: str
     return assign(vectors, c, id_col, vec_col), c
 
 
-def fit_kmeans(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
-               seed: int = SEED) -> DataFrame:
-    """MLlib k-means (k-means|| initialisation, Euclidean) -> ``(id, cluster_id)``."""
+def fit_kmeans_model(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+                     seed: int = SEED) -> tuple[DataFrame, np.ndarray]:
+    """MLlib k-means (k-means|| initialisation, Euclidean) -> ``(id, cluster_id)`` and the K x d centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = vectors.select(id_col, array_to_vector(vec_col).alias("features"))
     model = KMeans(k=k, seed=seed, distanceMeasure="euclidean").fit(data)
-    return model.transform(data).select(id_col, F.col("prediction").cast("int").alias("cluster_id"))
+    labels = model.transform(data).select(id_col, F.col("prediction").cast("int").alias("cluster_id"))
+    return labels, np.array(model.clusterCenters())
+
+
+def fit_kmeans(vectors: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding",
+               seed: int = SEED) -> DataFrame:
+    """The labels of :func:`fit_kmeans_model`."""
+    return fit_kmeans_model(vectors, k, id_col, vec_col, seed)[0]
 
 
 def kmeans_sweep(vectors: DataFrame, ks, id_col: str = "id", vec_col: str = "embedding",

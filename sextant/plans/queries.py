@@ -32,7 +32,7 @@ from sextant.operators.inference import first_candidate_responder
 from sextant.operators.ordering import dense_index
 from sextant.operators.tokens import rule_annotate, token_heads
 from sextant.session import cut_lineage
-from sextant.sources.tables import table
+from sextant.sources.tables import table, turn_key
 
 R = 6  # output decimals
 
@@ -89,7 +89,7 @@ def doc_vectors(spark, sf, dim=DOC_DIM) -> DataFrame:
 def conv_turns(spark, sf) -> DataFrame:
     c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", "role", "text",
-                    (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"))
+                    turn_key("conv_id", "turn").alias("id"))
 
 
 def sweep_eps():
@@ -129,7 +129,7 @@ def q_clean_generated(spark, sf):
 
 
 def _cap_first(c):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
 def q_clean_intent_pascal(spark, sf):
@@ -316,7 +316,10 @@ def q_kmeans_lloyd(spark, sf):
 def q_kmeans_fit(spark, sf):
     v = vectors(spark, sf)
     k = v.select("cluster_id").distinct().count()
-    return K.fit_kmeans(v, k).withColumnRenamed("id", "vec_id")
+    labels, centers = K.fit_kmeans_model(v, k)
+    # whichever centres the fit found, each row must belong to the nearest of them
+    nearest = K.assign(v, centers).withColumnRenamed("cluster_id", "nearest")
+    return labels.join(nearest, "id").select(F.col("id").alias("vec_id"), (F.col("cluster_id") == F.col("nearest")).alias("is_nearest"))
 
 
 # ---------------------------------------------------------------- density

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from sextant.functions.text import strip_suffix
 
 UTTERANCE_COLUMNS = ("id", "text", "intent")
-RAW_SCHEMA = "c0 string, c1 string, c2 string"
-_POS = ("c0", "c1", "c2")
+#: Columns that a file of a folder may have; one with more fails instead of losing some.
+MAX_COLUMNS = 64
+_POS = tuple(f"c{k}" for k in range(MAX_COLUMNS))
+RAW_SCHEMA = ", ".join(f"{c} string" for c in (*_POS, "too_many"))
 
 
 def _reader(spark: SparkSession):
@@ -38,32 +40,43 @@ def read_utterances(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bind_by_header(raw: DataFrame) -> DataFrame:
-    """Positional strings ``c0..c2`` + ``file_name`` -> ``(dataset, id, text, intent)`` by header names.
+    """Positional strings + ``file_name``, ``file_path`` -> ``(dataset, id, text, intent)`` by header names.
 
     Each file's header row is the row holding the three column names
-    (a data row cannot: its ``id`` is an integer).  Header rows - one per
-    file, so bounded by the file listing - are broadcast back onto the
-    body rows of the same file, and every column is picked by name.
-    ``label`` is accepted for ``intent`` (P2).
+    (a data row cannot: its ``id`` is an integer); an empty cell makes no row
+    a header.  Where the three names stand is joined back onto the other rows
+    of the same file, by its whole path, so files may have any order and
+    other columns besides.  ``label`` is accepted for ``intent`` (P2).
     """
-    names = F.array(*[F.col(c) for c in _POS])
-    is_header = (F.array_contains(names, "id") & F.array_contains(names, "text")
-                 & (F.array_contains(names, "intent") | F.array_contains(names, "label")))
-    header = raw.where(is_header).select(
-        "file_name", *[F.when(F.col(c) == "label", "intent").otherwise(F.col(c)).alias("h" + c) for c in _POS])
-    body = raw.where(~is_header).join(F.broadcast(header), "file_name")
+    cells = F.array(*[F.col(c) for c in _POS])
+    at = {n: F.array_position(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in _POS]), n) for n in ("id", "text", "intent", "label")}
+    truth = F.when(at["intent"] > 0, at["intent"]).otherwise(at["label"])
+    full = F.when(F.col("too_many").isNotNull(), F.raise_error(F.concat(
+        F.lit(f"more than {MAX_COLUMNS} columns in "), "file_path"))).otherwise(cells)
+    found = raw.select("file_name", "file_path", full.alias("cells"), at["id"].alias("a"), at["text"].alias("b"), truth.alias("c"))
+    is_header = (F.col("a") > 0) & (F.col("b") > 0) & (F.col("c") > 0)
+    header = found.where(is_header).select("file_path", "a", "b", "c")
+    body = found.where(~is_header).drop("a", "b", "c").join(header, "file_path")
 
-    def pick(name):
-        expr = F.when(F.col("hc0") == name, F.col("c0"))
-        for c in _POS[1:]:
-            expr = expr.when(F.col("h" + c) == name, F.col(c))
-        return expr
+    def pick(place):
+        return F.element_at("cells", F.col(place).cast("int"))
 
-    return body.select(strip_suffix("file_name").alias("dataset"), pick("id").cast("long").alias("id"),
-                       pick("text").alias("text"), pick("intent").alias("intent"))
+    return body.select(strip_suffix("file_name").alias("dataset"), pick("a").cast("long").alias("id"),
+                       pick("b").alias("text"), pick("c").alias("intent"))
 
 
-def read_dataset_dir(spark: SparkSession, directory: str, exclude: str | None = None) -> DataFrame:
+def raw_rows(reader, directory: str, exclude: str | None = None, multi_line: bool = True) -> DataFrame:
+    """Rows of all ``*.csv`` of a folder as positional strings; shorter rows end in nulls.
+
+    ``multi_line`` off lets Spark split large files; it asks for texts without line breaks.
+    """
+    raw = (reader.schema(RAW_SCHEMA).option("header", False).option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.csv")
+           .csv(directory).select("*", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path")))
+    return raw.where(~F.col("file_name").contains(exclude)) if exclude else raw
+
+
+def read_dataset_dir(spark: SparkSession, directory: str, exclude: str | None = None, multi_line: bool = True) -> DataFrame:
     """Every ``*.csv`` of a folder, with ``dataset`` = file name minus ``.csv``.
 
     All files are read in one scan as positional strings; the dataset name
@@ -71,12 +84,7 @@ def read_dataset_dir(spark: SparkSession, directory: str, exclude: str | None =
     contain it (S3), and each file's own header binds its columns by name
     (:func:`bind_by_header`), since column order differs between files.
     """
-    raw = (spark.read.schema(RAW_SCHEMA).option("header", False).option("escape", '"')
-           .option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*.csv")
-           .csv(directory).select("*", F.col("_metadata.file_name").alias("file_name")))
-    if exclude:
-        raw = raw.where(~F.col("file_name").contains(exclude))
-    return bind_by_header(raw).select("id", "text", "intent", "dataset")
+    return bind_by_header(raw_rows(spark.read, directory, exclude, multi_line)).select("id", "text", "intent", "dataset")
 
 
 def read_stage_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.session import spread
 
+#: Turns that a conversation may have for its turns to be numbered in one LONG.
+TURNS = 1_000_000
 DEFAULT_SF_DIR = "/root/testdata/sf0.01"
 # Tables whose rows carry long texts: per-row work on them is CPU-heavy.
 TEXT_TABLES = {"documents", "conversations", "pages"}
@@ -29,10 +31,17 @@ def documents_utterances(spark: SparkSession, sf_dir: str, intent_col: str = "la
     return d.select(F.col("doc_id").alias("id"), "text", F.col(intent_col).alias("intent"))
 
 
+def turn_key(conv: str, turn: str) -> Column:
+    """One LONG per (conversation, turn), in that order; fails where a number of turns would merge two."""
+    fits = F.col(turn).between(0, TURNS - 1)
+    return F.when(fits, F.col(conv) * TURNS + F.col(turn)).otherwise(
+        F.raise_error(F.concat(F.lit(f"a turn is not below {TURNS}: "), F.col(turn).cast("string"))).cast("long"))
+
+
 def conversation_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` turns as utterances, id = (conv_id, turn) packed in one LONG."""
     c = table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"),
+    return c.select(turn_key("conv_id", "turn").alias("id"),
                     "conv_id", "turn", "role", "text")
 
 

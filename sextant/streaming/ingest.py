@@ -3,12 +3,13 @@
 The original reads every ``*.csv`` of a folder (S2) and precomputes the
 candidate stage per dataset.  Here the folder is a Structured Streaming file
 source: each micro-batch holds the rows of newly arrived files, and
-``foreachBatch`` runs the batch operators on them and appends the results,
-partitioned by dataset.  The checkpoint location makes restarts skip files
+``foreachBatch`` runs the batch operators on them and writes the results
+under the batch's number, partitioned by dataset; a batch that is run again
+replaces what it wrote.  The checkpoint location makes restarts skip files
 already processed (the "reuse if present" rule of S10, per file).
 
 A streaming CSV source needs one fixed schema, but the datasets order their
-columns differently; so rows are read as three positional strings with the
+columns differently; so rows are read as positional strings with the
 header row kept, and each file's header row is joined back to bind the
 columns by name (``sources.csv.bind_by_header``) - distributed, per file,
 no driver-side inspection.
@@ -20,16 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators.candidates import extract
-from sextant.sources.csv import RAW_SCHEMA, bind_by_header
+from sextant.sources.csv import bind_by_header, raw_rows
 
 def read_stream(spark: SparkSession, in_dir: str, exclude: str | None = None) -> DataFrame:
     """S2 as a stream: every new ``*.csv`` in ``in_dir`` (names containing ``exclude`` skipped)."""
-    raw = (spark.readStream.schema(RAW_SCHEMA).option("header", False).option("escape", '"')
-           .option("multiLine", True).option("pathGlobFilter", "*.csv").csv(in_dir)
-           .select("*", F.col("_metadata.file_name").alias("file_name")))
-    if exclude:
-        raw = raw.where(~F.col("file_name").contains(exclude))
-    return raw
+    return raw_rows(spark.readStream, in_dir, exclude)
 
 
 def start_candidate_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
@@ -43,7 +39,8 @@ def start_candidate_stream(spark: SparkSession, in_dir: str, out_dir: str, check
     def batch(df: DataFrame, epoch_id: int) -> None:
         rows = bind_by_header(df)
         out = extract(rows, method, id_col=["dataset", "id"]).select("dataset", "id", "text", "intent", "candidate_intent")
-        out.write.mode("append").partitionBy("dataset").parquet(out_dir)
+        (out.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch", "dataset").parquet(out_dir))
 
     writer = read_stream(spark, in_dir, exclude).writeStream.foreachBatch(batch).option(
         "checkpointLocation", checkpoint)
