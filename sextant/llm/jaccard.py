@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, byte_groups, stored
+from sextant.llm.common import as_bytes, byte_groups, result_schema, stored
 from sextant.llm.wordhash import mix, run_hashes, word_hashes
 from sextant.operators.components import connected_components
 from sextant.session import bounded_broadcast
@@ -42,8 +42,8 @@ from sextant.session import bounded_broadcast
 U64 = np.uint64
 #: Members and bytes of a region that one join sees.
 REGION_ROWS, REGION_BYTES = 2048, 24 << 20
-#: New pivots of a region that is too large, and how often cells are cut again.
-SPLIT_PIVOTS, SPLIT_LEVELS = 8, 4
+#: New pivots of a region that is too large.
+SPLIT_PIVOTS = 8
 #: Rows of (id, key) pairs that may be broadcast.
 MEMBER_ROWS = 200_000
 
@@ -77,7 +77,10 @@ class Radius:
 def shingles(text: bytes, n: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; lower-case A-Z, words between ASCII white space."""
     words = text.lower().split()
-    return np.unique(run_hashes(word_hashes(b" ".join(words)), min(n, len(words)))) if words else np.empty(0, dtype=U64)
+    if not words:
+        return np.empty(0, dtype=U64)
+    s = np.sort(run_hashes(word_hashes(b" ".join(words)), min(n, len(words))))
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def part_keys(s: np.ndarray, radius: Radius) -> np.ndarray:
@@ -149,36 +152,50 @@ def region_forest(sets: list[np.ndarray], radius: Radius) -> list[tuple[int, int
     return links
 
 
-def _split(regions: DataFrame, large: DataFrame, radius: Radius) -> DataFrame:
-    """Members of the Voronoi cells of new pivots: each in its own cell, and near a border in the next ones too."""
+def _split(regions: DataFrame, large: DataFrame, radius: Radius) -> tuple[DataFrame, DataFrame]:
+    """The regions that new pivots can cut, and the members of these pivots' Voronoi cells of new pivots: each in its own cell, and near a border in the next ones too."""
     tasks = F.greatest(F.lit(1), F.ceil(F.col("rows") / REGION_ROWS)).cast("int")
     inside = regions.join(large.select("region", "rows", tasks.alias("tasks")), "region")
     chance = F.pmod(F.xxhash64("region", "d1", "d2"), F.lit(1 << 30)) / (1 << 30) * F.col("rows")
     pivots = (inside.where(chance < 8 * SPLIT_PIVOTS)  # a few for each region, whatever its size
               .withColumn("j", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("d2", "region"), "d1")))
               .where(F.col("j") <= SPLIT_PIVOTS)
-              .select("region", "j", F.col("s").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")))
+              .select(F.col("region").alias("of"), "j", F.col("s").alias("pivot"),
+                      F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("part")))
     members = inside.select("region", F.pmod(F.xxhash64("d1", "d2"), F.col("tasks")).cast("int").alias("task"), "d1", "d2", "s")
 
-    def cells(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def near(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(member, pivot number) for each cell that a member belongs to or borders on."""
         sets = [np.frombuffer(b, dtype=U64) for b in left.column("s").to_pylist()]
-        if not len(right) or not sets:  # a region without a sampled pivot stays as it is
-            return left.select(["region", "d1", "d2", "s"])
-        order = np.argsort(right.column("j").to_numpy())
         points = [np.frombuffer(b, dtype=U64) for b in right.column("pivot").to_pylist()]
         sizes = np.array([len(s) for s in sets])
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         together = np.concatenate(sets)
         d = np.empty((len(sets), len(points)))
-        for j in order.tolist():
-            common = _common(points[j], together, starts)
-            d[:, j] = 1 - common / (sizes + len(points[j]) - common)
+        for k, p in enumerate(points):
+            common = _common(p, together, starts)
+            d[:, k] = 1 - common / (sizes + len(p) - common)
         row, cell = np.nonzero(d <= d.min(axis=1, keepdims=True) + 2 * radius.r + 1e-9)
-        number = right.column("j").to_numpy()[cell].astype(U64)
-        region = mix(U64(key[0].as_py() & 0xFFFFFFFFFFFFFFFF) + number * U64(0x9E3779B97F4A7C15)).view(np.int64)
+        return row, right.column("j").to_numpy()[cell]
+
+    def count(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        j = near(left, right)[1] if len(left) and len(right) else np.zeros(len(left), dtype=np.int64)
+        j, n = np.unique(j, return_counts=True)
+        return pa.table({"parent": pa.array([key[0].as_py()] * len(j), pa.int64()), "j": pa.array(j, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    def cells(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row, j = near(left, right)
+        region = mix(U64(key[0].as_py() & 0xFFFFFFFFFFFFFFFF) + j.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
         return left.select(["d1", "d2", "s"]).take(pa.array(row)).add_column(0, "region", pa.array(region))
 
-    return members.groupBy("region", "task").cogroup(pivots.groupBy("region", "task")).applyInArrow(cells, "region long, d1 long, d2 long, s binary")
+    # where cells and borders would be no smaller than the region, it is not cut
+    counts = (members.groupBy("region", "task").cogroup(pivots.groupBy("of", "part")).applyInArrow(count, "parent long, j int, n long")
+              .groupBy("parent", "j").agg(F.sum("n").alias("n")).groupBy("parent").agg(F.sum("n").alias("total"), F.max("n").alias("most")))
+    good = stored(large.join(counts, F.col("region") == F.col("parent")).where("total <= 2 * rows and most <= 0.8 * rows").select("region"), "good")
+    cut = (members.join(good, "region", "left_semi").groupBy("region", "task")
+           .cogroup(pivots.join(good.withColumnRenamed("region", "of"), "of", "left_semi").groupBy("of", "part"))
+           .applyInArrow(cells, "region long, d1 long, d2 long, s binary"))
+    return good, cut
 
 
 def _sizes(regions: DataFrame) -> DataFrame:
@@ -192,12 +209,19 @@ def _too_large(sizes: DataFrame) -> DataFrame:
 def _bounded_regions(regions: DataFrame, radius: Radius) -> DataFrame:
     """Regions that one task can join, which hold every linked pair that the given ones hold."""
     done = []
-    for _ in range(SPLIT_LEVELS):
+    while True:  # cells are smaller than what they are cut from, so this ends
         large = stored(_too_large(_sizes(regions)), "large")
         if large.isEmpty():
             break
-        done.append(regions.join(large, "region", "left_anti"))
-        regions = stored(_split(regions, large, radius), "cells")
+        good, cells = _split(regions, large, radius)
+        if good.isEmpty():
+            break
+        done.append(regions.join(good, "region", "left_anti"))
+        regions = stored(cells, "cells")
+    done.append(regions)
+    regions = done[0]
+    for part in done[1:]:
+        regions = regions.unionByName(part)
     sizes = _sizes(regions)
     blocks = F.greatest(F.ceil(2 * F.col("rows") / REGION_ROWS), F.ceil(2 * F.col("bytes") / REGION_BYTES)).cast("int")
     large = _too_large(sizes).select("region", blocks.alias("blocks"))
@@ -207,11 +231,7 @@ def _bounded_regions(regions: DataFrame, radius: Radius) -> DataFrame:
     paired = rest.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("other", other)
     region = F.when(F.col("blocks").isNull(), F.col("region")).otherwise(
         F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")))
-    done.append(paired.select(region.alias("region"), "d1", "d2", "s"))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part.select(out.columns))
-    return out
+    return paired.select(region.alias("region"), "d1", "d2", "s")
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
@@ -231,58 +251,72 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     names = [f"c{k}" for k in range(len(kept))]
     given = docs.select(*[F.col(c).alias(m) for c, m in zip(kept, names)], F.col(id_col).cast("long").alias("id"),
                         F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    schema = ", ".join(f"{m} {given.schema[m].dataType.simpleString()}" for m in [*names, "id", "th"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()  # sets whose keys this task has given out: copies need no more
         for batch in batches:
-            texts = as_bytes(batch.column(batch.num_columns - 1))
-            for i, j in byte_groups(texts, 8 << 20):
-                sizes, d1, d2, keys = [], [], [], []
-                for t in texts[i:j]:
-                    s = shingles(t or b"", n)
-                    a, b = _digests(s)
-                    sizes.append(len(s))
-                    d1.append(a)
-                    d2.append(b)
-                    keys.append(part_keys(s, radius) if (a, b) not in seen else s[:0])
-                    if len(seen) < 1 << 20:
-                        seen.add((a, b))
-                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(i, j - i) for c in batch.columns[:-1]), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists],
-                    [*names, "id", "th", "n", "d1", "d2", "keys"])
+            sets = [shingles(t or b"", n) for t in as_bytes(batch.column(batch.num_columns - 1))]
+            ids = [_digests(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in ids], pa.int64()),
+                 pa.array([x[1] for x in ids], pa.int64())], [*names, "id", "th", "n", "d1", "d2"])
 
-    described = stored(given.mapInArrow(describe, f"{schema}, n long, d1 long, d2 long, keys array<long>"), "sets")
+    described = stored(given.mapInArrow(describe, result_schema(given, {m: m for m in [*names, "id", "th"]}, "n long, d1 long, d2 long")), "sets")
     classes = (described.where("n > 0").groupBy("d1", "d2")
-               .agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("first")))
-    classes = stored(classes.select("d1", "d2", "least", F.coalesce("least", "d1").alias("node"), "first"), "classes")
+               .agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("first"), F.max("n").alias("n")))
+    classes = stored(classes.select("d1", "d2", "n", "least", F.coalesce("least", "d1").alias("node"), "first"), "classes")
 
-    pivot = F.min("d1").over(Window.partitionBy("key"))
-    shared = described.select(F.explode("keys").alias("key"), "d1").withColumn("region", pivot).where("region <> d1")
-    members = shared.select("region", "d1").distinct()
-    members = stored(members.union(members.select("region", "region")).distinct(), "members")
-    wanted = classes.join(members.select("d1").distinct(), "d1", "left_semi").select("first.id", "first.th")
-    wanted = bounded_broadcast(wanted.select(F.col("id").alias("wid"), F.col("th").alias("wth")), MEMBER_ROWS)
-    texts = given.select("id", "th", "text").join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")), "left_semi")
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # sets whose keys this task has given out: copies need no more
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for i, j in byte_groups(texts, 4 << 20):
+                d1, parts = [], []
+                for t in texts[i:j]:
+                    s = shingles(t or b"", n)
+                    digest = _digests(s)
+                    if digest not in seen:
+                        d1.append(digest[0])
+                        parts.append(part_keys(s, radius))
+                        if len(seen) < 1 << 18:
+                            seen.add(digest)
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)),
+                                                      pa.array(np.repeat(np.array(d1), [len(p) for p in parts]))], ["key", "d1"])
+
+    shared = given.select("text").mapInArrow(keys, "key long, d1 long").withColumn("region", F.min("d1").over(Window.partitionBy("key")))
+    others = stored(shared.where("region <> d1").select("region", "d1").distinct(), "members")
+    members = others.union(others.select("region", "region").distinct())
+    sized = members.join(classes.select("d1", "n", "first"), "d1")
+    sizes = sized.groupBy("region").agg(F.count("*").alias("rows"), (8 * F.sum("n")).alias("bytes"))
+    size = sizes.agg(F.sum("bytes")).first()[0] or 0
+    wanted = sized.groupBy("first").agg(F.collect_set("region").alias("regions"))  # fewer regions than keys
+    wanted = bounded_broadcast(wanted.select(F.col("first.id").alias("wid"), F.col("first.th").alias("wth"), "regions"), MEMBER_ROWS)
+    texts = given.select("id", "th", "text").join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or b"", n) for t in as_bytes(batch.column(0))]
-            ids = [_digests(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ids], pa.int64()), pa.array([x[1] for x in ids], pa.int64()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], ["d1", "d2", "s"])
+            given_texts, regions = as_bytes(batch.column(0)), batch.column(1).to_pylist()
+            for i, j in byte_groups(given_texts, 2 << 20):
+                sets = [shingles(t or b"", n) for t in given_texts[i:j]]
+                of = np.repeat(np.arange(j - i), [len(r) for r in regions[i:j]])
+                ids = np.array([_digests(s) for s in sets], dtype=np.int64)[of]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x for r in regions[i:j] for x in r], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
+                     pa.array([s.tobytes() for s in sets], pa.binary()).take(pa.array(of))], ["region", "d1", "d2", "s"])
 
-    sets = stored(texts.select("text").mapInArrow(fetch, "d1 long, d2 long, s binary").dropDuplicates(["d1", "d2"]), "members")
-    regions = stored(members.join(sets, "d1"), "regions")
-    bounded = _bounded_regions(regions.select("region", "d1", "d2", "s"), radius)
-    size = regions.agg(F.sum(F.octet_length("s"))).first()[0] or 0
+    regions = texts.select("text", "regions").mapInArrow(fetch, "region long, d1 long, d2 long, s binary")
+    large = stored(_too_large(sizes), "large")
+    if not large.isEmpty():
+        cut = _bounded_regions(stored(regions.join(large.select("region"), "region", "left_semi"), "regions"), radius)
+        regions = regions.join(large.select("region"), "region", "left_anti").unionByName(cut)
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by([("region", "ascending"), ("d1", "ascending"), ("d2", "ascending")])
         region, d1, d2 = (table.column(c).to_numpy() for c in ("region", "d1", "d2"))
-        blobs = table.column("s").to_pylist()
+        new = np.ones(len(region), dtype=bool)  # a row that came twice counts once
+        new[1:] = (region[1:] != region[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+        region, d1, d2 = region[new], d1[new], d2[new]
+        blobs = table.column("s").filter(pa.array(new)).to_pylist()
         ends = np.append(np.flatnonzero(region[1:] != region[:-1]) + 1, len(region))
         a, b, at = [], [], 0
         for end in ends.tolist():
@@ -294,7 +328,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     empty = pa.table({c: pa.array([], pa.int64()) for c in ("a1", "a2", "b1", "b2")})
     tasks = max(1, size // (4 << 20))
-    links = (bounded.groupBy(F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")).applyInArrow(
+    links = (regions.groupBy(F.pmod(F.xxhash64("region"), F.lit(tasks)).alias("task")).applyInArrow(
         lambda t: join(t.select(["region", "d1", "d2", "s"])), "a1 long, a2 long, b1 long, b2 long").distinct())
     node = classes.select("d1", "d2", "node")
     edges = (links.join(node.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("node").alias("i")), ["a1", "a2"])
@@ -305,6 +339,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     least = classes.join(found, "node").groupBy("root").agg(F.min("least").alias("component"))
     joined = found.join(least, "root").select("node", "component")
     labels = classes.join(joined, "node", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"))
-    out = described.drop("keys").join(labels, ["d1", "d2"], "left")
+    out = described.join(labels, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(*[F.col(m).alias(c) for m, c in zip(names, kept)], F.col("n").alias("n_shingles"), component.alias("component_id"))
