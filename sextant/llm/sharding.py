@@ -24,9 +24,12 @@ BUCKET_ROWS = 20_000
 
 
 def ring_arcs(spark: SparkSession, n_shards: int, nodes_per_shard: int) -> list[tuple[int, int]]:
-    """(last cell, shard) of every arc in clockwise order; of nodes on one cell, the first stays."""
+    """(last cell, shard) of every arc in clockwise order; of nodes on one cell, the first stays.
+
+    A shard's nodes have the same cells however many shards there are.
+    """
     nodes = (spark.range(n_shards * nodes_per_shard)
-             .select((F.col("id") % n_shards).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(CELLS)).alias("cell"), "id")
+             .select(F.floor(F.col("id") / nodes_per_shard).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(CELLS)).alias("cell"), "id")
              .groupBy("cell").agg(F.min_by("shard", "id").alias("shard")))
     return sorted((r["cell"], r["shard"]) for r in nodes.collect())
 
