@@ -41,9 +41,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's Python files to the workers, which need not have it on their path.
+
+    Workers of a session that another tool built need the package installed
+    (``pip install .``) or this call.
+    """
+    import atexit
+    import shutil
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="sextant-py-")  # the driver serves it for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, f"sextant-{os.getpid()}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, os.path.join("sextant", path.relative_to(root)))
+    spark.sparkContext.addPyFile(name)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, reading it from the session.
 
