@@ -23,7 +23,7 @@ from sextant.operators import prompts as P
 from sextant.operators import quality as Q
 from sextant.operators.embedding import hashed_embedding
 from sextant.operators.inference import embed, first_candidate_responder
-from sextant.plans.config import canonical, validate
+from sextant.plans.config import canonical, draw_hyperparameters, validate
 from sextant.sources.store import config_key, materialize
 
 # Default sweep settings (fixed values of the original configuration).
@@ -37,7 +37,23 @@ class Models:
     encode: Callable | None = None            # list[str] -> (n, d) array; None: hashed embedding
     embed_dim: int = 256
     generate: Callable[[str], str] = first_candidate_responder
-    iter_dbscan_params: list[dict] = field(default_factory=list)
+    score: Callable | None = None             # (sources, targets) -> scores; None: the built-in scorer
+    iter_dbscan_params: list[dict] = field(default_factory=list)  # empty: drawn settings (C10)
+    readable: dict | None = None              # further readable intents, dataset -> raw -> readable
+
+
+def _stored(spark: SparkSession, store: str | None, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """S10 where there is a store; else the stage is built each time."""
+    return build() if store is None else materialize(spark, store, key, build)
+
+
+def iter_dbscan_settings(spark: SparkSession, models: Models) -> list[dict]:
+    """C11: the given settings, or the drawn ones under the names that the operator takes."""
+    if models.iter_dbscan_params:
+        return models.iter_dbscan_params
+    drawn = draw_hyperparameters(spark).orderBy("param_idx").collect()  # a fixed number of settings
+    return [{"initial_distance": r["distance"], "initial_minimum_samples": r["minimum_samples"], "delta_distance": r["delta_distance"],
+             "delta_minimum_samples": r["delta_minimum_samples"], "max_iteration": r["max_iteration"]} for r in drawn]
 
 
 def embeddings(utts: DataFrame, config: dict, models: Models, store: str | None = None) -> DataFrame:
@@ -61,7 +77,7 @@ def attempts(vectors: DataFrame, config: dict, models: Models) -> DataFrame:
         return D.dbscan_sweep(vectors, D.eps_schedule(DBSCAN_EPS0, DBSCAN_STEP, DBSCAN_RUNS), DBSCAN_MIN_SAMPLES)
     if algo == "iter_dbscan":
         runs = []
-        for p, params in enumerate(models.iter_dbscan_params):
+        for p, params in enumerate(iter_dbscan_settings(vectors.sparkSession, models)):
             runs.append(D.iter_dbscan(vectors, **params).withColumn("param_idx", F.lit(p)))
         out = runs[0]
         for r in runs[1:]:
@@ -93,43 +109,63 @@ def generate_labels(rows: DataFrame, config: dict, models: Models, vectors: Data
     return P.label_by_prompt(rows, models.generate, 3, order=order)
 
 
+def candidates(utts: DataFrame, config: dict, models: Models, store: str | None = None) -> DataFrame:
+    """Stage 2a: the candidate of every utterance, by dataset and extraction method."""
+    key = f"{config['dataset']}_{config['extraction_method']}/candidates"
+    return _stored(utts.sparkSession, store, key, lambda: C.extract(utts, config["extraction_method"], generate=models.generate))
+
+
 def run_configuration(utts: DataFrame, config: dict, models: Models | None = None,
                       store: str | None = None) -> DataFrame:
     """Entry 1: one configuration -> rows ``(id, text, intent, cluster_id, candidate_intent, generated)``."""
     models = models or Models()
     validate(config)
+    spark = utts.sparkSession
     vectors = embeddings(utts, config, models, store)
-    labels = best_labels(vectors, attempts(vectors, config, models), config["clustering_measure"])
-    cands = C.extract(utts, config["extraction_method"], generate=models.generate)
+    tries = _stored(spark, store, config_key(config, "clustering_algorithm") + "/attempts", lambda: attempts(vectors, config, models))
+    labels = _stored(spark, store, config_key(config, "clustering_measure") + "/labels",
+                     lambda: best_labels(vectors, tries, config["clustering_measure"]))
+    cands = candidates(utts, config, models, store)
     rows = cands.join(labels, "id")
     gen = generate_labels(rows, config, models, vectors)
     return rows.join(gen, "cluster_id", "left")
 
 
-def evaluate_configuration(rows: DataFrame, dataset: str, dim: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Stage 3 for one configuration: label report and the per-intent cosine metric with its average."""
-    rep = E.label_report(rows, dataset=dataset, dim=dim)
+def evaluate_configuration(rows: DataFrame, dataset: str, dim: int = 256, models: Models | None = None
+                           ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stage 3 for one configuration: label report, and the cosine and the scorer's metric per intent."""
+    models = models or Models()
+    readable = E.readable_table(rows.sparkSession, models.readable)
+    rep = E.label_report(rows, dataset=dataset, dim=dim, readable=readable, encode=models.encode, scorer=models.score)
     per = E.average_per_intent(rep, rows.select("intent"), "cosine_sim", 0.0)
-    return rep, per
+    return rep, per, E.score_per_intent(rep, rows.select("intent"), models.score)
 
 
 def run_sweep(spark: SparkSession, utts: DataFrame, grid: DataFrame, models: Models | None = None,
               store: str | None = None, dataset: str = "dataset") -> DataFrame:
-    """Entry 2: every configuration of ``grid`` -> ``(combo_idx, avg)``; W5 picks the best.
+    """Entry 2: every configuration of ``grid`` -> ``(combo_idx, avg, avg_score)``; W5 picks the best by either.
 
     The option grid is a handful of rows, so the driver iterates over it;
     every configuration itself is a set of Spark jobs over all utterances.
+    With a ``store``, stages that configurations share are built once, and a
+    configuration whose metric is stored is not run again.
     """
-    results = []
+    models, results = models or Models(), []
     for row in grid.orderBy("combo_idx").collect():  # the option grid, not data
         config = {k: row[k] for k in row.asDict() if k != "combo_idx"}
-        rows = run_configuration(utts, config, models, store)
-        _, per = evaluate_configuration(rows, config.get("dataset") or dataset)
-        results.append(E.macro_average(per, "cosine_sim").withColumn("combo_idx", F.lit(row["combo_idx"])))
+
+        def metric(config=config):
+            rows = run_configuration(utts, config, models, store)
+            _, per, scores = evaluate_configuration(rows, config.get("dataset") or dataset, models=models)
+            return E.macro_average(per, "cosine_sim").crossJoin(  # one row each
+                E.macro_average(scores, "bart_score").withColumnRenamed("avg", "avg_score"))
+
+        done = _stored(spark, store, config_key(config) + "/metric", metric)
+        results.append(done.withColumn("combo_idx", F.lit(row["combo_idx"])))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out.select("combo_idx", "avg")
+    return out.select("combo_idx", "avg", "avg_score")
 
 
 def precompute(utts: DataFrame, configs: list[dict], models: Models | None = None,
@@ -140,6 +176,5 @@ def precompute(utts: DataFrame, configs: list[dict], models: Models | None = Non
     for config in configs:
         out[config_key(config, "embedding_model_name")] = embeddings(utts, config, models, store)
         if "extraction_method" in config:
-            out[f"{config['dataset']}_{config['extraction_method']}"] = C.extract(
-                utts, config["extraction_method"], generate=models.generate)
+            out[f"{config['dataset']}_{config['extraction_method']}"] = candidates(utts, config, models, store)
     return out
