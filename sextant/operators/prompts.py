@@ -29,16 +29,16 @@ PROMPT_SCHEMA = ("cluster_id {}, prompt_no int, first_rank long, last_rank long,
 
 def _fold(budget: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = {"cluster": None, "texts": [], "first": None, "last": None, "cost": 0, "no": 0,
+        state = {"cluster": None, "texts": [], "n": 0, "first": None, "last": None, "cost": 0, "no": 0,
                  "cands": ""}
         out: list[tuple] = []
 
         def flush():
-            if state["texts"]:
+            if state["n"]:
                 out.append((state["cluster"], state["no"], state["first"], state["last"],
-                            len(state["texts"]), LABEL_PROMPT % (", ".join(state["texts"]), state["cands"])))
+                            state["n"], LABEL_PROMPT % (", ".join(state["texts"]), state["cands"])))
                 state["no"] += 1
-            state["texts"], state["cost"], state["first"] = [], 0, None
+            state["texts"], state["n"], state["cost"], state["first"] = [], 0, 0, None
 
         for pdf in batches:
             for cl, rank, text, w, extra, cands, wc in zip(
@@ -47,11 +47,15 @@ def _fold(budget: int):
                 if cl != state["cluster"]:
                     flush()
                     state.update(cluster=cl, no=0, cands=cands)
-                if state["texts"] and 1 + w + LABEL_PROMPT_FIXED_WORDS + wc + state["cost"] > budget:
+                if any(state["texts"]) and 1 + w + LABEL_PROMPT_FIXED_WORDS + wc + state["cost"] > budget:
                     flush()
                 # The first utterance of a prompt is always taken, even when it alone
-                # exceeds the budget (the original would loop forever on it).
+                # exceeds the budget (the original would loop forever on it).  Empty ones
+                # at the start leave nothing behind, not even a comma.
+                if not any(state["texts"]):
+                    state["texts"], state["cost"] = [], 0
                 state["texts"].append(text)
+                state["n"] += 1
                 state["cost"] += int(w) + int(extra)
                 state["first"] = rank if state["first"] is None else state["first"]
                 state["last"] = rank

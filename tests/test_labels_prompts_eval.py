@@ -78,6 +78,16 @@ def test_pack_prompts_edges(spark, case):
         assert r["n_utterances"] == len(p)
 
 
+def test_prompts_as_written_out(spark):
+    rows = [(1, 0, ""), (1, 1, "x"), (1, 2, "y"), (2, 0, "a"), (2, 1, ""), (2, 2, "b"), (3, 0, "")]
+    utts = spark.createDataFrame(rows, "cluster_id int, rank long, text string")
+    cands = spark.createDataFrame([(1, "p-q, r-s"), (2, "p-q")], "cluster_id int, candidates string")
+    got = {r["cluster_id"]: (r["n_utterances"], r["prompt"]) for r in P.pack_prompts(utts, cands).collect()}
+    tail = ". What is the best fitting intent, if any, among the following: "
+    assert got == {1: (3, "Given these utterances: x, y" + tail + "p-q, r-s"), 2: (3, "Given these utterances: a, , b" + tail + "p-q"),
+                   3: (1, "Given these utterances: " + tail)}
+
+
 def test_label_by_prompt_uses_top_candidate(spark):
     rows = [(i, 1, f"utterance {i}", c) for i, c in enumerate(["a-b", "c-d", "c-d", "NONE"])] + \
            [(9, 2, "lonely", "NONE-x")]
