@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -47,6 +51,30 @@ def byte_groups(texts: list, limit: int) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` has at most ``limit`` bytes in each, or one row.
+
+    Arrow batches are cut by rows, so those of long texts are large; what a
+    function makes of a batch stays small this way.  Memory that the worker
+    no longer needs goes back to the machine at the end.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_bytes(column: pa.Array) -> list:
     """Values of a string column as UTF-8 bytes, None for null, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -57,12 +85,6 @@ def unit_hash(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def arange_groups(lengths: np.ndarray) -> np.ndarray:
-    """0, 1, .. within each of consecutive groups of the given lengths."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-
-
 def result_schema(docs: DataFrame, names: dict[str, str], more: str) -> StructType:
     """Columns of ``docs`` under new names (new: old), then those of the DDL string ``more``."""
     return StructType([*(StructField(new, docs.schema[old].dataType) for new, old in names.items()), *StructType.fromDDL(more)])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, byte_groups, result_schema, stored
+from sextant.llm.common import as_bytes, by_bytes, byte_groups, give_back, result_schema, stored
 from sextant.llm.wordhash import mix, run_hashes, word_hashes
 from sextant.operators.components import connected_components
 from sextant.session import bounded_broadcast
@@ -253,7 +253,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                         F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             sets = [shingles(t or b"", n) for t in as_bytes(batch.column(batch.num_columns - 1))]
             ids = [_digests(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # sets whose keys this task has given out: copies need no more
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts = as_bytes(batch.column(0))
             for i, j in byte_groups(texts, 4 << 20):
                 d1, parts = [], []
@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     texts = given.select("id", "th", "text").join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             given_texts, regions = as_bytes(batch.column(0)), batch.column(1).to_pylist()
             for i, j in byte_groups(given_texts, 2 << 20):
                 sets = [shingles(t or b"", n) for t in given_texts[i:j]]
@@ -324,6 +324,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 a.append(at + i)
                 b.append(at + j)
             at = end
+        give_back()
         return pa.table({"a1": d1[a], "a2": d2[a], "b1": d1[b], "b2": d2[b]}) if a else empty
 
     empty = pa.table({c: pa.array([], pa.int64()) for c in ("a1", "a2", "b1", "b2")})

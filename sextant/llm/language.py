@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import held_out, unit_hash
+from sextant.llm.common import by_bytes, held_out, unit_hash
 
 BITS = 15
 N_FEATURES = 1 << BITS
@@ -121,7 +121,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """In how many documents each feature occurs; the last entry is the number of documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(N_FEATURES + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in by_bytes(batches, "t"):
             for text in batch.column(0).to_pylist():
                 df[:-1] += feature_counts(text) > 0
                 df[-1] += 1
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in by_bytes(batches, "t"):
             found = [m.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()),

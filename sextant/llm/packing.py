@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import byte_groups, stored
+from sextant.llm.common import by_bytes, byte_groups, stored
 from sextant.llm.tokenizing import id_encoder
 
 #: Pieces that one ranking task should see.
@@ -105,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = id_encoder(tokenizer_path)
         end = b"" if end_id is None else np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
             for i, j in byte_groups(texts, batch_bytes):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sextant.llm.common import as_bytes, byte_groups, result_schema, stored
+from sextant.llm.common import as_bytes, by_bytes, byte_groups, give_back, result_schema, stored
 from sextant.llm.wordhash import anchors, run_hashes, word_hashes
 
 #: Words of a phrase.
@@ -69,7 +69,7 @@ def _count(keys: list[np.ndarray]) -> list[np.ndarray]:
 def _phrase_counts(docs: DataFrame, window: int) -> DataFrame:
     """``(chunk, phrase, n)`` of every batch's phrases."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 8 * GROUP_BYTES):
             chunks, texts = batch.column(0).to_numpy(), as_bytes(batch.column(1))
             for i, j in byte_groups(texts, GROUP_BYTES):
                 of, _, hashes = _phrase_anchors([(t or b"").split() for t in texts[i:j]], window)
@@ -195,6 +195,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
             edges = np.flatnonzero(np.diff(starts) != 1)
             runs.append([x for a, b in zip(starts[np.append(0, edges + 1)], starts[np.append(edges, -1)]) for x in (int(a), int(b) + 1)]
                         if len(starts) else [])
+        give_back()
         text = pa.array([t if with_text or r else None for t, r in zip(texts, runs)], pa.binary()).cast(pa.string())
         return pa.Table.from_arrays([*(left.column(n) for n in names), left.column("chunk"), pa.array(n_words, pa.int64()),
                                      pa.array(digests, pa.string()), pa.array(runs, pa.list_(pa.int32())), text], schema=located)
@@ -207,7 +208,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     touched = found.where(F.size("runs") > 0)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", 6 * GROUP_BYTES):
             chunks, runs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
             for i, j in byte_groups(texts, 6 * GROUP_BYTES):
                 parts = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import byte_groups
+from sextant.llm.common import by_bytes, byte_groups
 from sextant.llm.tokenizing import length_encoder
 
 
@@ -32,7 +32,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 4096, id_col
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = length_encoder(tokenizer_path)
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts, lengths = [t or "" for t in batch.column(2).to_pylist()], []
             for i, j in byte_groups(texts, batch_bytes):
                 lengths += encoder.lengths(texts[i:j])
