@@ -37,6 +37,14 @@ def _widen(found: DataFrame, docs: DataFrame, n_chars=None) -> DataFrame:
     return found.select(*[column(k, c) for k, c in enumerate(docs.columns)])
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents with a hash of their text under a name of its own, and the two columns that tell texts apart."""
+    text_key = "text_hash"
+    while text_key in docs.columns:
+        text_key += "_"
+    return docs.withColumn(text_key, F.xxhash64("text")), ["doc_id", text_key]
+
+
 KEEP = ["doc_id", "text", "rest"]
 
 
@@ -52,11 +60,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents without words are no copies of each other and stay, as do those
     without an id.  Of rows with the same id and text one stays.
     """
-    text_key = "text_hash"
-    while text_key in docs.columns:
-        text_key += "_"
-    keys = ["doc_id", text_key]
-    keyed = docs.withColumn(text_key, F.xxhash64("text"))
+    keyed, keys = _keyed(docs)
     found = (jaccard_components(keyed.select("text", *keys), n=5, num=80, den=100, keep=keys)
              .where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(keys).distinct()
@@ -76,8 +80,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10 consecutive words of a benchmark item."""
-    found = contamination(_narrow(docs), table(spark, sf_dir, "benchmark"), n=10, keep=KEEP)
-    return _widen(found.where(~F.col("contaminated")), docs)
+    keyed, keys = _keyed(docs)
+    found = contamination(keyed.select("text", *keys), table(spark, sf_dir, "benchmark"), n=10, keep=keys)
+    gone = found.where("contaminated").select(F.col(keys[0]).alias("gone_id"), F.col(keys[1]).alias("gone_text")).distinct()
+    same = F.col("gone_id").eqNullSafe(F.col(keys[0])) & (F.col("gone_text") == F.col(keys[1]))  # texts stay where they are
+    return keyed.join(bounded_broadcast(gone, MEMBER_ROWS), same, "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
