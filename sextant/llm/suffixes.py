@@ -22,16 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from sextant.llm.common import arange_groups, as_bytes, byte_groups, stored
+from sextant.llm.common import as_bytes, by_bytes, byte_groups, give_back, result_schema, stored
 from sextant.llm.phrases import _count, _recurring_phrases
 from sextant.llm.wordhash import U64, anchors, mix, run_hashes, sliding
+from sextant.session import bounded_broadcast
 
 #: Bytes of an anchor; of text of one chunk, about; of text hashed together; of strings in one shard, about.
-GRAM, CHUNK_BYTES, GROUP_BYTES, SHARD_BYTES = 32, 2 << 20, 1 << 20, 12 << 20
+GRAM, CHUNK_BYTES, GROUP_BYTES, SHARD_BYTES = 32, 2 << 20, 1 << 18, 6 << 20
 #: Places of one anchor that one interval tree takes; more are cut into blocks, which their strings' hashes join up.
 ANCHOR_ROWS = 4096
 _BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -49,24 +52,44 @@ def _grams(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.n
 def _owners(hashes: np.ndarray, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, length: int, gram: int,
             wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor number, first start, last start) for every stretch of strings whose leftmost least gram is a wanted anchor."""
-    w = length - gram + 1
-    if not len(at):
-        return (np.empty(0, dtype=np.int64),) * 3
-    least = sliding(hashes, w, np.minimum)
+    nothing = (np.empty(0, dtype=np.int64),) * 3
     n = np.maximum(sizes - length + 1, 0)
-    starts = np.repeat(first, n) + arange_groups(n)
-    owner = np.searchsorted(at, starts)
-    while True:  # the first anchor from the start on that is the least
-        wrong = hashes[at[owner]] != least[starts]
-        if not wrong.any():
-            break
-        owner[wrong] += 1
-    keep = wanted[owner]
-    starts, owner = starts[keep], owner[keep]
-    if not len(starts):
-        return (np.empty(0, dtype=np.int64),) * 3
-    new = np.flatnonzero((np.diff(owner) != 0) | (np.diff(starts) != 1)) + 1
-    return owner[np.append(0, new)], starts[np.append(0, new)], starts[np.append(new - 1, len(starts) - 1)]
+    if not n.any():
+        return nothing
+    least = sliding(hashes, length - gram + 1, np.minimum)
+    # runs of starts of one text with the same least value
+    new = np.flatnonzero(least[1:] != least[:-1]) + 1
+    begin = np.unique(np.concatenate((first[n > 0], new)))
+    last = np.append(begin[1:] - 1, len(least) - 1)
+    text = np.searchsorted(first, begin, side="right") - 1
+    inside = begin < first[text] + n[text]
+    begin, last = begin[inside], np.minimum(last, first[text] + n[text] - 1)[inside]
+    out = []
+    while len(begin):
+        value = least[begin]
+        owner = np.searchsorted(at, begin)
+        while True:  # the first anchor from the start on that is the least
+            wrong = hashes[at[owner]] != value
+            if not wrong.any():
+                break
+            owner[wrong] += 1
+        keep = wanted[owner]
+        begin, last, owner = begin[keep], last[keep], owner[keep]
+        out.append((owner, begin, np.minimum(last, at[owner])))
+        beyond = last > at[owner]  # the value comes again before the run ends
+        begin, last = at[owner][beyond] + 1, last[beyond]
+    owner, begin, last = (np.concatenate(x) for x in zip(*out))
+    order = np.argsort(begin, kind="stable")
+    return owner[order], begin[order], last[order]
+
+
+def _known(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values
 
 
 def repeated_later(anchor: np.ndarray, rank: np.ndarray, left: np.ndarray, blobs: list[bytes], length: int
@@ -82,7 +105,7 @@ def repeated_later(anchor: np.ndarray, rank: np.ndarray, left: np.ndarray, blobs
     flat = np.frombuffer(b"".join(blobs) + bytes(length), dtype=np.uint8)
     at = np.cumsum(sizes) - sizes + left  # the anchor's first byte
     right = np.minimum(sizes - left, length)
-    after = flat[at[:, None] + np.arange(length)]
+    after = np.lib.stride_tricks.sliding_window_view(flat, length)[at]
     after[np.arange(length) >= right[:, None]] = 0
     group = np.unique(anchor, return_inverse=True)[1].astype(np.uint32)
     key = np.concatenate([group.astype(">u4").view(np.uint8).reshape(n, 4), after], axis=1)
@@ -148,8 +171,6 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     ``length`` keep all; an empty table gives an empty result; other columns
     are not read.
     """
-    spark = docs.sparkSession
-    id_type = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n"), F.xxhash64(text).alias("th"))
     classes = stored(rows.groupBy("th", "n").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("any_null")), "classes")
@@ -159,7 +180,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             hashes = batch.column(1).to_pylist()
             keep = []
             for k, th in enumerate(hashes):
@@ -172,7 +193,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     texts = chunked.mapInArrow(once, "chunk int, th long, text string")  # copies within a task go once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in once(batches):
             of_chunk, given = batch.column(0).to_numpy(), as_bytes(batch.column(2))
             for i, j in byte_groups(given, GROUP_BYTES):
                 hashes, at, first = _grams(given[i:j], length, GRAM)
@@ -180,13 +201,18 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
                 chunk, gram, n = _count([of_chunk[i:j][which], hashes[at].view(np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(gram), pa.array(n, pa.int64())], ["chunk", "phrase", "n"])
 
-    recurring = _recurring_phrases(texts.mapInArrow(count, "chunk int, phrase long, n long"))
-    located = pa.schema([("chunk", pa.int32()), ("th", pa.int64()), ("text", pa.string()), ("anchors", pa.list_(pa.int64())),
+    recurring = _recurring_phrases(chunked.mapInArrow(count, "chunk int, phrase long, n long"))
+    id_arrow = to_arrow_type(docs.schema[id_col].dataType)
+    located = pa.schema([("least", id_arrow), ("any_null", pa.bool_()), ("chunk", pa.int32()), ("th", pa.int64()), ("text", pa.string()), ("anchors", pa.list_(pa.int64())),
                          ("places", pa.list_(pa.int32())), ("lefts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The texts of the chunk that have recurring anchors, once each, and where these are."""
-        wanted = np.unique(right.column("phrase").to_numpy())
+        grams = right.filter(pc.is_valid(right.column("phrase")))
+        wanted = np.unique(grams.column("phrase").to_numpy())
+        known = right.filter(pc.is_valid(right.column("th")))  # of all copies of a text the one of the least id counts
+        rank_of = {th: k for k, th in enumerate(known.column("th").to_pylist())}
+        least, any_null = known.column("least").to_pylist(), known.column("any_null").to_pylist()
         own = left.column("th").to_numpy()
         once_each = np.unique(own, return_index=True)[1]
         given = as_bytes(left.column("text").combine_chunks().take(pa.array(once_each)))
@@ -194,10 +220,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
         for i, j in byte_groups(given, GROUP_BYTES):
             hashes, at, first = _grams(given[i:j], length, GRAM)
             sizes = np.array([len(t) for t in given[i:j]], dtype=np.int64)
-            owner, a, b = _owners(hashes, at, first, sizes, length, GRAM, np.isin(hashes[at].view(np.int64), wanted))
+            owner, a, b = _owners(hashes, at, first, sizes, length, GRAM, _known(hashes[at].view(np.int64), wanted))
             which = np.searchsorted(first, a, side="right") - 1
             for t, s in zip(*_bounds(which)):
                 k = int(which[s.start])
+                number = rank_of[int(own[once_each[i + k]])]
+                out["least"].append(least[number])
+                out["any_null"].append(any_null[number])
                 out["chunk"].append(key[0].as_py())
                 out["th"].append(int(own[once_each[i + k]]))
                 out["text"].append(given[i + k])
@@ -208,25 +237,39 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
         arrays = [pa.array(out[f.name], pa.binary()).cast(pa.string()) if f.name == "text" else pa.array(out[f.name], f.type) for f in located]
         return pa.Table.from_arrays(arrays, schema=located)
 
-    touched = stored(texts.groupBy("chunk").cogroup(recurring.groupBy("chunk")).applyInArrow(
-        locate, "chunk int, th long, text string, anchors array<long>, places array<int>, lefts array<int>, sizes array<int>"), "touched")
-    # one row per place, with the bytes that its strings cover; of all copies of a text the one of the least id counts
-    order = classes.select(F.col("th"), F.col("any_null"), F.col("least"))
-    places = (touched.select("chunk", "th", "text", F.posexplode(F.arrays_zip("anchors", "places", "lefts", "sizes")).alias("k", "p"))
-              .select("chunk", "th", F.col("p.anchors").alias("anchor"), F.col("p.places").alias("place"), F.col("p.lefts").alias("left"),
-                      F.substring(F.encode("text", "UTF-8"), F.col("p.places") - F.col("p.lefts") + 1, F.col("p.sizes")).alias("s")))
-    places = places.join(order, "th")
+    chunk_of = F.pmod(F.xxhash64(F.lit("chunk"), "th"), F.lit(chunks)).cast("int").alias("chunk")
+    known_texts = classes.where(F.col("n") >= length).select(chunk_of, "th", "least", "any_null")
+    told = recurring.unionByName(known_texts, allowMissingColumns=True)
+    touched = stored(texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(locate, result_schema(
+        docs, {"least": id_col}, "any_null boolean, chunk int, th long, text string, anchors array<long>, places array<int>, "
+        "lefts array<int>, sizes array<int>")), "touched")
+    # one row per place, with the bytes that its strings cover
+    place_schema = result_schema(docs, {"least": id_col}, "any_null boolean, chunk int, th long, anchor long, place int, left int, s binary")
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            given, lists = as_bytes(batch.column("text")), [batch.column(c).to_pylist() for c in ("anchors", "places", "lefts", "sizes")]
+            for i, j in byte_groups(given, GROUP_BYTES):
+                of = np.repeat(np.arange(i, j), [len(x) for x in lists[0][i:j]])
+                anchor, place, left, size = ([x for row in rows_[i:j] for x in row] for rows_ in lists)
+                strings = [given[k][p - q:p - q + n] for k, p, q, n in zip(of.tolist(), place, left, size)]
+                head = batch.select(["least", "any_null", "chunk", "th"]).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([*head.columns, pa.array(anchor, pa.int64()), pa.array(place, pa.int32()),
+                                                  pa.array(left, pa.int32()), pa.array(strings, pa.binary())], place_schema.names)
+
+    places = touched.mapInArrow(slices, place_schema)
     n_bytes = touched.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] or 0
     shards = max(1, n_bytes // SHARD_BYTES)
     # an anchor with more places than one interval tree takes is cut into blocks by the text
-    per_anchor = places.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") > ANCHOR_ROWS)
+    per_anchor = (touched.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("rows"))
+                  .where(F.col("rows") > ANCHOR_ROWS))
     blocks = stored(per_anchor.select("anchor", F.ceil(F.col("rows") / ANCHOR_ROWS).cast("int").alias("blocks")), "hot")
     shard = F.pmod(F.xxhash64("anchor", "block"), F.lit(shards)).cast("int")
-    dealt = (places.join(blocks, "anchor", "left")
+    dealt = (places.join(bounded_broadcast(blocks), "anchor", "left")
              .withColumn("block", F.when(F.col("blocks").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(F.lit("block"), "th"), F.col("blocks")).cast("int")))
              .select(shard.alias("shard"), "block", "chunk", "th", "any_null", "least", "anchor", "place", "left", "s"))
     marked_schema = pa.schema([("chunk", pa.int32()), ("th", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()),
-                               ("h", pa.int64()), ("g", pa.int64()), ("any_null", pa.bool_()), ("least", to_arrow_type(docs.schema[id_col].dataType))])
+                               ("h", pa.int64()), ("g", pa.int64()), ("any_null", pa.bool_()), ("least", id_arrow)])
 
     def mark(table: pa.Table) -> pa.Table:
         table = table.sort_by([("any_null", "descending"), ("least", "ascending"), ("th", "ascending"), ("place", "ascending")])
@@ -253,9 +296,11 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
             out.append(table.take(pa.array(i)).select(["chunk", "th", "any_null", "least"])
                        .append_column("begin", pa.array(place[i] - j, pa.int32())).append_column("end", pa.array(place[i] - j + length, pa.int32()))
                        .append_column("h", pa.array(digest[:, 0])).append_column("g", pa.array(digest[:, 1])))
+        give_back()
         return pa.concat_tables([t.select(marked_schema.names).cast(marked_schema) for t in out]) if out else marked_schema.empty_table()
 
-    marks = stored(dealt.groupBy("shard").applyInArrow(mark, f"chunk int, th long, begin int, end int, h long, g long, any_null boolean, least {id_type}"), "marks")
+    marks = stored(dealt.groupBy("shard").applyInArrow(mark, StructType([
+        *StructType.fromDDL("chunk int, th long, begin int, end int, h long, g long, any_null boolean"), *result_schema(docs, {"least": id_col}, "x int").fields[:1]])), "marks")
     sure = marks.where(F.col("h").isNull()).select("chunk", "th", "begin", "end")
     across = marks.where(F.col("h").isNotNull())
     earliest = across.groupBy("h", "g").agg(F.min(F.struct((~F.col("any_null")).alias("later"), "least", "th", "begin")).alias("e"))
