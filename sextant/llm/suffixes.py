@@ -132,7 +132,7 @@ def repeated_later(anchor: np.ndarray, rank: np.ndarray, left: np.ndarray, blobs
         if not stay.any():
             break
         kept = np.flatnonzero(stay)
-        lcp = np.minimum.reduceat(lcp, np.append(0, kept[:-1] + 1)) if len(kept) else lcp[:0]
+        lcp = np.minimum.reduceat(lcp[:kept[-1] + 1], np.append(0, kept[:-1] + 1))  # without what left behind the last kept
         order = order[kept]
         bwt = flat[at[order] - step]
         forward = np.argsort(bwt, kind="stable")  # ranks one byte earlier, within the anchor's group

@@ -154,6 +154,48 @@ def test_repeated_bytes(docs_of, corpus, monkeypatch, length, anchor_rows, chunk
     assert collected(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == by_nulls(brute_bytes(corpus, length))
 
 
+def brute_repeats(anchor, left, blobs, length):
+    """(place, bytes before the anchor) of every whole string that a lower place has at the same distance from the same anchor."""
+    seen, out = set(), set()
+    for i, blob in enumerate(blobs):
+        for step in range(left[i] + 1):
+            s = blob[left[i] - step:left[i] - step + length]
+            if len(s) == length:
+                if (anchor[i], step, s) in seen:
+                    out.add((i, step))
+                seen.add((anchor[i], step, s))
+    return out
+
+
+def found_repeats(anchor, left, blobs, length):
+    place, step, _ = suffixes.repeated_later(np.array(anchor, dtype=np.uint64), np.arange(len(anchor)), np.array(left), blobs, length)
+    assert len(set(zip(place.tolist(), step.tolist()))) == len(place)
+    return set(zip(place.tolist(), step.tolist()))
+
+
+def test_repeats_of_many_anchors_of_different_left():
+    rng = random.Random(8)
+    length, gram, anchor, left, blobs = 24, 6, [], [], []
+    for g in range(40):
+        before, after = (bytes(rng.choice(b"ab") for _ in range(length)) for _ in range(2))
+        most = rng.choice([0, 2, 7, 18])
+        for _ in range(rng.choice([1, 2, 5])):
+            a, least = rng.randint(0, most), rng.randint(0, 3)  # strings start from `a` down to `least` bytes before the anchor
+            tail = bytearray(after)
+            tail[rng.randrange(length)] = rng.choice(b"ab")
+            anchor.append(g)
+            left.append(a)
+            blobs.append((before[length - a:] + b"%06d" % g + bytes(tail))[:a + length - min(least, a)])
+    want = brute_repeats(anchor, left, blobs, length)
+    assert len(want) > 100 and found_repeats(anchor, left, blobs, length) == want
+
+
+def test_repeats_stay_when_the_end_of_the_order_leaves():
+    same = bytes(range(65, 91)) * 6
+    blobs = [same[:150], same[:150], same[:110], same[20:130]]
+    assert found_repeats([1, 1, 2, 2], [50, 50, 10, 10], blobs, 100) == {(1, s) for s in range(51)}
+
+
 def test_repeated_bytes_of_periodic_texts(docs_of):
     rows = [(0, "ab" * 300), (1, "ba" * 150 + "c" + "ab" * 90), (2, "c" * 99), (3, "c" * 101), (4, "d" * 100), (5, "d" * 100 + "ab" * 60)]
     found = suffixes.remove_repeated_bytes(docs_of(rows))
