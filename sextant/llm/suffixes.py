@@ -108,8 +108,9 @@ def repeated_later(anchor: np.ndarray, rank: np.ndarray, left: np.ndarray, blobs
     after = np.lib.stride_tricks.sliding_window_view(flat, length)[at]
     after[np.arange(length) >= right[:, None]] = 0
     group = np.unique(anchor, return_inverse=True)[1].astype(np.uint32)
-    key = np.concatenate([group.astype(">u4").view(np.uint8).reshape(n, 4), after], axis=1)
-    order = np.argsort(np.ascontiguousarray(key).view(f"V{4 + length}").ravel().view(f"S{4 + length}"), kind="stable")
+    # of those equal up to the zeros behind their stretch the shorter ones come first, as an end is less than any byte
+    key = np.concatenate([group.astype(">u4").view(np.uint8).reshape(n, 4), after, right.astype(">u4").view(np.uint8).reshape(n, 4)], axis=1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"S{8 + length}").ravel(), kind="stable")
     # the common prefix of each suffix with the one before it, at most `length`
     lcp = np.zeros(n, dtype=np.int64)
     same = after[order[1:]] == after[order[:-1]]

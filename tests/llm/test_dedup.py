@@ -196,6 +196,17 @@ def test_repeats_stay_when_the_end_of_the_order_leaves():
     assert found_repeats([1, 1, 2, 2], [50, 50, 10, 10], blobs, 100) == {(1, s) for s in range(51)}
 
 
+def test_repeats_with_nul_bytes_where_a_shorter_place_ends():
+    whole = b"b" * 12 + b"anchor" + b"\0" * 14
+    assert found_repeats([1, 1, 1], [12] * 3, [whole, whole[:20], whole], 20) == brute_repeats([1, 1, 1], [12] * 3, [whole, whole[:20], whole], 20)
+    rng = random.Random(9)
+    for _ in range(40):
+        n = rng.randint(2, 9)
+        anchor, left = [rng.randrange(2) for _ in range(n)], [rng.randint(0, 4) for _ in range(n)]
+        blobs = [bytes(rng.choice(b"\0\0\0a") for _ in range(a + rng.randint(1, 8))) for a in left]
+        assert found_repeats(anchor, left, blobs, 6) == brute_repeats(anchor, left, blobs, 6)
+
+
 def test_repeated_bytes_of_periodic_texts(docs_of):
     rows = [(0, "ab" * 300), (1, "ba" * 150 + "c" + "ab" * 90), (2, "c" * 99), (3, "c" * 101), (4, "d" * 100), (5, "d" * 100 + "ab" * 60)]
     found = suffixes.remove_repeated_bytes(docs_of(rows))
