@@ -86,7 +86,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str]
     small = n_nodes <= BROADCAST_ROW_LIMIT
     e = cut_lineage(edges.where(F.col("i") != F.col("j"))
                     .select(*k, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
-    n_edges, moves = e.count(), []
+    n_edges, moves, contracted = e.count(), [], False
     while n_edges:
         tasks = -(-n_edges // per_task)
         forest = cut_lineage(_forest(e, k, tasks))
@@ -100,6 +100,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str]
         move = cut_lineage(least.where(F.col("least.h") < F.xxhash64(draw, "a"))
                            .select(*k, F.col("a").alias("id"), F.col("least.b").alias("root")))
         moves.append(move)
+        contracted = True
         to = node_side(move, small)
         mapped = forest
         for end in ("id", "root"):
@@ -112,7 +113,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, key_cols: list[str]
     for move in moves:
         to = node_side(move.select(*k, F.col("id").alias("root"), F.col("root").alias("_to")), small)
         labels = labels.join(to, k + ["root"], "left").select(*k, "id", F.coalesce("_to", "root").alias("root"))
-    if len(moves) > 1:  # a place where nodes meet need not be their smallest id
+    if contracted:  # a place where nodes meet need not be their smallest id
         labels = cut_lineage(labels)
         least = labels.groupBy(*k, "root").agg(F.min("id").alias("_least"))
         labels = labels.join(node_side(least, small), k + ["root"]).select(*k, "id", F.col("_least").alias("root"))

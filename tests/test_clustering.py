@@ -246,6 +246,15 @@ def test_connected_components_random_keyed_graphs(spark):
     assert got == want
 
 
+def test_connected_components_that_collapse_in_the_first_contraction(spark):
+    n = 60
+    nodes = spark.createDataFrame([(i,) for i in range(2 * n)], "id long")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(n)], "i long, j long")
+    for edges_per_task in (5, 1000):
+        roots = {r["id"]: r["root"] for r in connected_components(nodes, pairs, edges_per_task=edges_per_task).collect()}
+        assert roots == {i: i - i % 2 for i in range(2 * n)}
+
+
 def _attempts(spark, labelings):
     rows = [(p, i, int(c)) for p, lab in enumerate(labelings) for i, c in enumerate(lab)]
     return spark.createDataFrame(rows, "param_idx int, id long, cluster_id int")
