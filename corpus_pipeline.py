@@ -55,20 +55,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8): the one of the smallest id.
+    """One document of each group of near copies (5-word shingles, similarity 0.8).
 
-    Documents without words are no copies of each other and stay, as do those
-    without an id.  Of rows with the same id and text one stays.
+    It is the one of the smallest id, of several texts of that id the one of
+    the least hash; documents without an id come after all others.  Of rows
+    with the same id and text one stays.  Documents without words are no
+    copies of each other and stay.
     """
     keyed, keys = _keyed(docs)
-    found = (jaccard_components(keyed.select("text", *keys), n=5, num=80, den=100, keep=keys)
-             .where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(keys).distinct()
-    twice = found.where(F.col("doc_id") == F.col("component_id")).groupBy(keys).count().where("count > 1").drop("count")
+    found = jaccard_components(keyed.select("text", *keys), n=5, num=80, den=100, keep=keys, group_col="group").where("n_shingles > 0")
+    found = found.select(F.col(keys[0]).alias("id"), F.col(keys[1]).alias("th"), "group")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    firsts = found.groupBy("group").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    judged = found.join(bounded_broadcast(firsts, MEMBER_ROWS), "group").withColumn("stays", place == F.col("first"))
+    gone = judged.where(~F.col("stays")).select("id", "th").distinct()
+    twice = judged.where("stays").groupBy("id", "th").count().where("count > 1").select("id", "th")
     twice = bounded_broadcast(twice, MEMBER_ROWS)
-    left = keyed.join(bounded_broadcast(gone, MEMBER_ROWS), keys, "left_anti")
-    once = left.join(twice, keys, "left_semi").dropDuplicates(keys)
-    return left.join(twice, keys, "left_anti").unionByName(once).select(docs.columns)
+    same = F.col("id").eqNullSafe(F.col(keys[0])) & (F.col("th") == F.col(keys[1]))
+    left = keyed.join(bounded_broadcast(gone, MEMBER_ROWS), same, "left_anti")
+    once = left.join(twice, same, "left_semi").dropDuplicates(keys)
+    return left.join(twice, same, "left_anti").unionByName(once).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,14 +235,16 @@ def _bounded_regions(regions: DataFrame, radius: Radius) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                       keep: list[str] | None = None) -> DataFrame:
-    """``(keep or id .., n_shingles, component_id)`` per row; texts link where similarity is at least num / den.
+                       keep: list[str] | None = None, group_col: str | None = None) -> DataFrame:
+    """``(keep or id .., n_shingles, component_id[, group_col])`` per row; texts link where similarity is at least num / den.
 
     Shingles are ``n`` words, or the whole sequence of a shorter text.  Rows
     without words (null, empty or white space) have 0 shingles, link with
     nothing and are their own component.  Repeated rows and copies link as
     equal sets.  ``component_id`` is the smallest id (an integer) that links
     reach; null ids are passed over, and where there is no other it is null.
+    ``group_col`` names a number that the rows of one component share and no
+    others, whatever their ids; it is null for rows without words.
     Texts of any length count whole; an empty table gives an empty result;
     columns not in ``keep`` are not read.
     """
@@ -263,7 +265,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     described = stored(given.mapInArrow(describe, result_schema(given, {m: m for m in [*names, "id", "th"]}, "n long, d1 long, d2 long")), "sets")
     classes = (described.where("n > 0").groupBy("d1", "d2")
                .agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("first"), F.max("n").alias("n")))
-    classes = stored(classes.select("d1", "d2", "n", "least", F.coalesce("least", "d1").alias("node"), "first"), "classes")
+    classes = stored(classes.select("d1", "d2", "n", "least", F.col("d1").alias("node"), "first"), "classes")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # sets whose keys this task has given out: copies need no more
@@ -338,8 +340,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     linked = edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct()
     found = connected_components(linked, edges).withColumnRenamed("id", "node")
     least = classes.join(found, "node").groupBy("root").agg(F.min("least").alias("component"))
-    joined = found.join(least, "root").select("node", "component")
-    labels = classes.join(joined, "node", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"))
+    joined = found.join(least, "root").select("node", "root", "component")
+    labels = classes.join(joined, "node", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"),
+                                                         F.coalesce("root", "node").alias("group"))
     out = described.join(labels, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(*[F.col(m).alias(c) for m, c in zip(names, kept)], F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select(*[F.col(m).alias(c) for m, c in zip(names, kept)], F.col("n").alias("n_shingles"), component.alias("component_id"),
+                      *([F.col("group").alias(group_col)] if group_col else []))

@@ -180,3 +180,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert 1006 in ids and not ids & {1001, 1002, 1005}
     for s in {r["sequence_id"] for r in packed}:
         assert sum(r["length"] for r in packed if r["sequence_id"] == s) <= 1024
+
+
+def test_pipeline_keeps_one_document_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(500)]
+    a, b, c, d, e = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(5))
+    rows = [(1, a), (None, a), (None, a), (None, a + " x"),  # copies without an id beside one with an id
+            (None, b), (None, b), (None, b + " x"),  # a group without any id
+            (2, c), (2, c + " x"), (2, c), (3, c + " y"),  # near copies that share an id
+            (4, d), (4, e), (5, e + " x"),  # texts that share an id and nothing else
+            (6, "."), (None, ""), (None, None), (None, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, table, "").collect()]
+    group = [(doc, (text or " ").replace(" x", "").replace(" y", "")) for doc, text in kept]
+    assert sorted(g for g in group if g[0]) == sorted([(1, a), (2, c), (4, d), (4, e), (6, ".")])
+    assert [t for doc, t in group if doc is None and t.strip()] == [b] and len(kept) == 9
