@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sextant.llm.common import as_bytes, by_bytes, byte_groups, give_back, result_schema, stored
 from sextant.llm.wordhash import anchors, run_hashes, word_hashes
+from sextant.session import bounded_broadcast
 
 #: Words of a phrase.
 PHRASE = 8
@@ -154,10 +155,27 @@ def _cut(text: bytes, words: list[bytes], removed: np.ndarray) -> bytes:
     return b" ".join(out + ([text[begin:end]] if begin is not None else []))
 
 
-def chunk_column(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Column:
-    """A chunk number per row, with as many chunks as the table's bytes ask for."""
+def chunk_column(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[Column, int]:
+    """A chunk number per row, the same for rows equal in id and text, and the number of chunks that the table's bytes ask for."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return F.pmod(F.xxhash64(F.lit("chunk"), F.col(id_col)), F.lit(max(1, -(-size // chunk_bytes)))).cast("int")
+    chunks = max(1, -(-size // chunk_bytes))
+    return F.pmod(F.xxhash64(F.lit("chunk"), F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int"), chunks
+
+
+def spread(rows: DataFrame, recurring: DataFrame, chunks: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the rows of chunks that equal rows made too large dealt over other chunks, with their phrases to each."""
+    loads = rows.groupBy("chunk").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"))
+    parts = F.least(F.ceil(F.col("bytes") / chunk_bytes), F.col("rows")).cast("int")
+    large = stored(loads.where((F.col("bytes") > 4 * chunk_bytes) & (F.col("rows") > 1)).select("chunk", parts.alias("parts")), "large")
+    if large.isEmpty():
+        return rows, recurring
+    large = bounded_broadcast(large)
+    moved = F.pmod(F.xxhash64(F.lit("part"), "chunk", "part"), F.lit(chunks)).cast("int")
+    chunk = F.when(F.coalesce("part", F.lit(0)) == 0, F.col("chunk")).otherwise(moved)
+    dealt = rows.withColumn("number", F.monotonically_increasing_id()).join(large, "chunk", "left")
+    dealt = dealt.withColumn("part", F.pmod("number", "parts").cast("int")).withColumn("chunk", chunk).select(rows.columns)
+    told = recurring.join(large, "chunk", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return dealt, told.withColumn("chunk", chunk).select(recurring.columns)
 
 
 def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text",
@@ -178,9 +196,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     kept = keep or [id_col]
     names = [f"c{k}" for k in range(len(kept))]
     arrow = [to_arrow_type(docs.schema[c].dataType) for c in kept]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names)], chunk_column(docs, id_col, text_col, chunk_bytes).alias("chunk"),
-                       F.col(text_col).alias("text"))
+    chunk, chunks = chunk_column(docs, id_col, text_col, chunk_bytes)
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names)], chunk.alias("chunk"), F.col(text_col).alias("text"))
     recurring = _recurring_phrases(_phrase_counts(rows, window))
+    rows, recurring = spread(rows, recurring, chunks, chunk_bytes)
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):

@@ -129,6 +129,24 @@ def test_repeated_windows_text(docs_of):
     assert phrases.remove_repeated_windows(docs_of([], 1)).count() == 0
 
 
+def test_repeated_windows_of_rows_without_an_id_or_of_one_id(docs_of, monkeypatch):
+    rng = random.Random(12)
+    passage, same = " ".join(prose(rng, 20)), " ".join(prose(rng, 60))
+    rows = [(rng.choice([None, 7]), " ".join(prose(rng, 50)) + " " + rng.choice([passage, ""])) for _ in range(60)] + [(None, same)] * 80
+    largest, locate = [], phrases.stored
+
+    def stored(df, label):
+        out = locate(df, label)
+        if label == "located":
+            largest.append(max(r["words"] for r in out.groupBy("chunk").agg({"n_words": "sum"}).withColumnRenamed("sum(n_words)", "words").collect()))
+        return out
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    found = phrases.remove_repeated_windows(docs_of(rows), window=12, chunk_bytes=1500)
+    assert collected(found, "doc_id", "n_words", "n_removed", "kept_sha256") == by_nulls(brute_windows(rows, 12))
+    assert largest[0] < sum(len(t.split()) for _, t in rows) / 5  # the 80 equal rows alone are more than half of all words
+
+
 def brute_bytes(rows, length):
     distinct = sorted({((doc is not None, doc or 0), doc, (t or "").encode()) for doc, t in rows})
     seen, out = set(), {}
