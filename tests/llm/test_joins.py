@@ -198,3 +198,27 @@ def test_pipeline_keeps_one_document_of_each_group(spark):
     group = [(doc, (text or " ").replace(" x", "").replace(" y", "")) for doc, text in kept]
     assert sorted(g for g in group if g[0]) == sorted([(1, a), (2, c), (4, d), (4, e), (6, ".")])
     assert [t for doc, t in group if doc is None and t.strip()] == [b] and len(kept) == 9
+
+
+CLASHING = "id, th, gone_id, gone_text, text_hash, k0, k1, g0, g1, row, c0, chunk, predicted, contaminated, group, n_words, rest".split(", ")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_pass_columns_of_any_name(spark, tmp_path, empty):
+    import corpus_pipeline
+    from .test_text_models import labelled
+
+    docs, labels = labelled(120)
+    d = str(tmp_path)
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    rows = [(i, t, len(t), *CLASHING) for i, t in docs] + [(None, None, None, *CLASHING)]
+    table = spark.createDataFrame([] if empty else rows, schema)
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, d)
+        found = out.collect()
+        assert out.columns == table.columns and (len(found) == 0) == empty
+        assert all(tuple(r)[3:] == tuple(CLASHING) for r in found)
+    if empty:
+        assert corpus_pipeline.STAGES[-1][1](spark, table, d).count() == 0
