@@ -1,26 +1,36 @@
 """Cluster quality (A8-A10, E1-E7, J6, J7, W4, P6) for many labelings at once.
 
-Labelings are a long table ``(param_idx, id, cluster_id)``.  Silhouette needs
-every pairwise Euclidean distance, so all attempts share one blocked
-distance pass: every row carries the labels of all attempts as an array,
-and a block pair multiplies its distance matrix by the stacked one-hot label
-matrices of all attempts, emitting per ``(attempt, row, cluster)`` partial
-sums.  The output is N x K per attempt, never N x N.  Davies-Bouldin is
-linear in N plus a blocked pass over the K centroids of each attempt.
+Labelings are a long table ``(param_idx, id, cluster_id)``.  They are packed
+beside the vectors, keyed by attempt, so that all attempts share one pass
+over the pairs; an attempt that misses a row, or has one without a vector,
+fails with ``MISALIGNED_ATTEMPT`` while the rows are packed.
+
+Silhouette: a task holds a block of rows, streams all rows past it and keeps
+the distance sums per cluster in place, so one number per row and attempt
+leaves it.  Davies-Bouldin is linear in the rows: tasks keep vector sums per
+cluster and emit these, and a blocked pass compares the centroids.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from math import ceil
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.operators.blocks import DEFAULT_BLOCK_ROWS, euclidean_matrix, pairwise_apply, stack
-from sextant.session import bounded_broadcast
+from sextant.session import bounded_broadcast, cut_lineage
 
 ATTEMPT = "param_idx"
 ALLCLOSE_ATOL = 1e-8
+#: Sums that a task keeps: rows times clusters of silhouettes, clusters of centroids.
+SUMS_PER_TASK, CLUSTERS_PER_TASK = 16 << 20, 65_536
 HIGHER_IS_BETTER = {"silhouette": True, "balanced": True, "davies_bouldin": False}
 
 
@@ -57,89 +67,178 @@ def size_penalty(labels: DataFrame, lam: float = 0.5, key_cols: list[str] | None
     return out.drop("_g")
 
 
-def _packed_labels(labels: DataFrame, id_col: str):
-    """Per row, the labels of all attempts as an array indexed by attempt position.
+class Packed:
+    """Rows ``(id, embedding, codes, clusters)``: a row's cluster of every attempt, in the order of ``attempts``.
 
-    The attempt list is one row per attempt (a sweep's parameter count).
+    ``codes`` number an attempt's clusters from 0, ``clusters`` are their ids;
+    ``counts`` has the number of clusters per attempt.  Attempts are a sweep's parameters.
     """
-    attempts = labels.select(ATTEMPT).distinct()
-    pos = attempts.select(ATTEMPT, (F.row_number().over(Window.orderBy(ATTEMPT)) - 1).alias("_a"))
-    pos = pos.cache()
-    n_att = pos.count()
-    packed = (labels.join(bounded_broadcast(pos), ATTEMPT)
-              .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_a", "cluster_id"))).alias("_l"))
-              .select(id_col, F.transform("_l", lambda s: s["cluster_id"]).alias("_labels")))
-    return packed, n_att, pos
+
+    def __init__(self, vectors: DataFrame, labels: DataFrame, id_col: str = "id", vec_col: str = "embedding"):
+        self.sizes = cut_lineage(cluster_sizes(labels, [ATTEMPT]).withColumn(
+            "code", F.row_number().over(Window.partitionBy(ATTEMPT).orderBy("cluster_id")) - 1))
+        per = self.sizes.groupBy(ATTEMPT).agg(F.count("*").alias("k")).orderBy(ATTEMPT).collect()  # one row per attempt
+        self.attempts, self.counts = [r[ATTEMPT] for r in per], [r["k"] for r in per]
+        coded = labels.join(bounded_broadcast(self.sizes.select(ATTEMPT, "cluster_id", "code")), [ATTEMPT, "cluster_id"])
+        entry = F.struct(ATTEMPT, F.struct("code", F.col("cluster_id").cast("int").alias("cluster_id")).alias("l"))
+        by_attempt = coded.groupBy(F.col(id_col).alias("id")).agg(F.map_from_entries(F.collect_list(entry)).alias("by"))
+        rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("embedding"), F.lit(True).alias("there"))
+        rows = rows.join(by_attempt, "id", "full")
+        lacking = F.filter(F.array(*[F.lit(a) for a in self.attempts]), lambda a: F.col("by").isNull() | ~F.map_contains_key("by", a))
+        wrong = (F.when(F.col("there").isNull(), F.concat(F.lit("MISALIGNED_ATTEMPT: no vector for the labelled row "), F.col("id").cast("string")))
+                 .when(F.size(lacking) > 0, F.concat(F.lit("MISALIGNED_ATTEMPT: row "), F.col("id").cast("string"),
+                                                     F.lit(" has no label in attempt "), F.try_element_at(lacking, F.lit(1)).cast("string"))))
+        placed = F.transform(F.array(*[F.lit(a) for a in self.attempts]), lambda a: F.col("by")[a])
+        placed = F.when(wrong.isNotNull(), F.raise_error(wrong)).otherwise(placed)
+        self.rows = cut_lineage(rows.withColumn("l", placed).select("id", "embedding", F.col("l.code").alias("codes"), F.col("l.cluster_id").alias("clusters")))
+        self.n_rows = self.rows.count()
+
+
+def _flat(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    lists = batch.column(column)
+    return pc.list_flatten(lists).to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _fold(counts: list[int], first: int, attempts: list) -> object:
+    """The function of one row block: its rows come first (``_own``), then all rows, whose distances it sums per cluster."""
+    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    total, mine = int(starts[-1]), slice(first, first + len(counts))
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sums, sizes = [], None, np.zeros(total, dtype=np.int64)
+        step = max(64, (4 << 20) // max(total, 1))
+        for batch in batches:
+            kind = batch.column("_own").to_numpy(zero_copy_only=False)
+            if kind.any():
+                own.append(batch.filter(pa.array(kind)))
+                batch = batch.filter(pa.array(~kind))
+            if batch.num_rows and sums is None:
+                ids = np.concatenate([o.column("id").to_numpy() for o in own])
+                x = np.concatenate([_flat(o, "embedding") for o in own])
+                order = np.argsort(ids)
+                sums = np.zeros((len(ids), total))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                other, code = part.column("id").to_numpy(), _flat(part, "codes")[:, mine] + starts[:-1]
+                d = euclidean_matrix(x, _flat(part, "embedding"))
+                place = order[np.minimum(np.searchsorted(ids, other, sorter=order), len(ids) - 1)]
+                same = np.flatnonzero(ids[place] == other)
+                d[place[same], same] = 0.0  # a row's distance to itself is exactly 0
+                member = np.zeros((len(other), total))
+                np.put_along_axis(member, code, 1.0, axis=1)
+                sums += d @ member
+                sizes += member.sum(axis=0).astype(np.int64)
+        code = np.concatenate([_flat(o, "codes")[:, mine] for o in own])
+        clusters = np.concatenate([_flat(o, "clusters")[:, mine] for o in own])
+        rows = np.arange(len(ids))
+        for k, attempt in enumerate(attempts):
+            s, n, c = sums[:, starts[k]:starts[k + 1]], sizes[starts[k]:starts[k + 1]], code[:, k]
+            a = np.divide(s[rows, c], n[c] - 1, out=np.zeros(len(ids)), where=n[c] > 1)
+            means = s / n
+            means[rows, c] = np.inf
+            b = means.min(axis=1)
+            most = np.maximum(a, b)
+            fine = (n[c] > 1) & np.isfinite(b) & (most > 0)
+            sil = np.divide(b - a, most, out=np.zeros(len(ids)), where=fine)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), attempt, dtype=np.int32)), pa.array(ids),
+                                              pa.array(clusters[:, k].astype(np.int32)), pa.array(sil)], [ATTEMPT, "id", "cluster_id", "silhouette"])
+    return run
 
 
 def silhouette_samples(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
-                       vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                       vec_col: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """E1 for every attempt: ``(param_idx, id, cluster_id, silhouette)`` (Euclidean).
 
     ``a`` = mean distance to the other members of the own cluster, ``b`` = the
     smallest mean distance to another cluster, ``s = (b - a) / max(a, b)``;
-    0 for singletons and when ``max(a, b) = 0``.  Noise is an ordinary cluster.
+    0 for singletons, a single cluster and when ``max(a, b) = 0``.  Noise is an ordinary cluster.
     """
-    packed, n_att, pos = _packed_labels(labels, id_col)
-    rows = vectors.select(id_col, vec_col).join(packed, id_col)
-
-    def sums(own: pd.DataFrame, other: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-        lab = np.vstack(other["_labels"].to_numpy()) if len(other) else np.zeros((0, n_att), int)
-        outs = []
-        for a in range(n_att):
-            u, inv = np.unique(lab[:, a], return_inverse=True)
-            onehot = np.zeros((len(other), len(u)))
-            onehot[np.arange(len(other)), inv] = 1.0
-            s = d @ onehot
-            ids = np.repeat(own[id_col].to_numpy(), len(u))
-            outs.append(pd.DataFrame({"_a": a, "id": ids, "cluster_id": np.tile(u, len(own)).astype(np.int64),
-                                      "s": s.reshape(-1)}))
-        return pd.concat(outs, ignore_index=True) if outs else pd.DataFrame(
-            {"_a": [], "id": [], "cluster_id": [], "s": []})
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        d = euclidean_matrix(stack(left[vec_col]), stack(right[vec_col]))
-        if same:
-            np.fill_diagonal(d, 0.0)  # a row's distance to itself is exactly 0
-        out = sums(left, right, d)
-        if not same:
-            out = pd.concat([out, sums(right, left, d.T)], ignore_index=True)
-        return out
-
-    partial = pairwise_apply(rows, id_col, [], kernel,
-                             "_a int, id long, cluster_id long, s double", block_rows)
-    totals = (partial.groupBy("_a", F.col("id").alias(id_col), "cluster_id").agg(F.sum("s").alias("s"))
-              .join(bounded_broadcast(pos), "_a").drop("_a"))
-    sizes = cluster_sizes(labels, [ATTEMPT])
-    means = totals.join(sizes, [ATTEMPT, "cluster_id"])
-    own = labels.select(ATTEMPT, id_col, F.col("cluster_id").alias("own"))
-    m = means.join(own, [ATTEMPT, id_col])
-    per_row = m.groupBy(ATTEMPT, id_col, "own").agg(
-        F.max(F.when(F.col("cluster_id") == F.col("own"), F.col("size"))).alias("own_size"),
-        F.max(F.when(F.col("cluster_id") == F.col("own"), F.col("s"))).alias("own_sum"),
-        F.min(F.when(F.col("cluster_id") != F.col("own"), F.col("s") / F.col("size"))).alias("b"))
-    a = F.col("own_sum") / (F.col("own_size") - 1)
-    mx = F.greatest(a, F.col("b"))
-    sil = (F.when((F.col("own_size") <= 1) | F.col("b").isNull() | (mx == 0), F.lit(0.0))
-           .otherwise((F.col("b") - a) / mx))
-    return per_row.select(ATTEMPT, id_col, F.col("own").cast("int").alias("cluster_id"),
-                          sil.alias("silhouette"))
+    return packed_silhouettes(Packed(vectors, labels, id_col, vec_col), block_rows).withColumnRenamed("id", id_col)
+
+
+def packed_silhouettes(packed: Packed, block_rows: int | None = None) -> DataFrame:
+    """:func:`silhouette_samples` of packed attempts; attempts share a pass as far as their clusters' sums fit a task."""
+    parts, first = [], 0
+    cores = packed.rows.sparkSession.sparkContext.defaultParallelism
+    while first < len(packed.attempts):
+        stop, total = first + 1, packed.counts[first]
+        while stop < len(packed.attempts) and total + packed.counts[stop] <= SUMS_PER_TASK // 1024:
+            total += packed.counts[stop]
+            stop += 1
+        most = block_rows or max(16, min(4096, SUMS_PER_TASK // max(total, 1)))
+        blocks = max(ceil(packed.n_rows / most), min(cores, ceil(packed.n_rows / 128)), 1)
+        home = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        own = packed.rows.select(home.alias("_blk"), F.lit(True).alias("_own"), "*")
+        every = packed.rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"), F.lit(False).alias("_own"), "*")
+        full = every.join(F.broadcast(own.select("_blk").distinct()), "_blk", "left_semi")  # no block without rows of its own
+        dealt = own.unionByName(full).repartition("_blk").sortWithinPartitions("_blk", F.desc("_own"))
+        parts.append(dealt.groupBy("_blk").applyInArrow(_fold(packed.counts[first:stop], first, packed.attempts[first:stop]),
+                                                        f"{ATTEMPT} int, id long, cluster_id int, silhouette double"))
+        first = stop
+    if not parts:
+        return packed.sizes.where(F.lit(False)).select(F.col(ATTEMPT).cast("int").alias(ATTEMPT), F.lit(0).cast("long").alias("id"),
+                                                       F.col("cluster_id").cast("int").alias("cluster_id"), F.lit(0.0).alias("silhouette"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def vector_sums(packed: Packed) -> DataFrame:
+    """``(param_idx, cluster_id, size, center ARRAY<DOUBLE>)``: a task keeps the sums of its clusters and emits one row for each.
+
+    Where a task meets more clusters than it may keep, it emits what it has and goes on.
+    """
+    offsets = np.concatenate([[0], np.cumsum(packed.counts)]).astype(np.int64)[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, n = np.zeros(0, dtype=np.int64), None, np.zeros(0)
+
+        def out() -> pa.RecordBatch:
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(n.astype(np.int64)), flat], ["at", "n", "sums"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x, code = _flat(part, "embedding"), _flat(part, "codes") + offsets
+                known, place = np.unique(code, return_inverse=True)
+                place = place.reshape(code.shape)
+                fresh, count = np.zeros((len(known), x.shape[1])), np.bincount(place.ravel(), minlength=len(known))
+                for k in range(code.shape[1]):
+                    np.add.at(fresh, place[:, k], x)
+                if sums is not None and len(held) + len(known) > CLUSTERS_PER_TASK:
+                    yield out()
+                    sums = None
+                if sums is None:
+                    held, sums, n = known, fresh, count
+                    continue
+                every = np.union1d(held, known)
+                more, both = np.zeros((len(every), x.shape[1])), np.zeros(len(every))
+                for ids, s, c in ((held, sums, n), (known, fresh, count)):
+                    more[np.searchsorted(every, ids)] += s
+                    both[np.searchsorted(every, ids)] += c
+                held, sums, n = every, more, both
+        if sums is not None:
+            yield out()
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        n = pc.sum(group.column("n")).as_py()
+        total = pc.list_flatten(group.column("sums").combine_chunks()).to_numpy(zero_copy_only=False).reshape(group.num_rows, -1).sum(axis=0)
+        return pa.table({"at": [key[0].as_py()], "center": pa.array([total / n], pa.list_(pa.float64()))})
+
+    centers = packed.rows.mapInArrow(run, "at long, n long, sums array<double>").groupBy("at").applyInArrow(add, "at long, center array<double>")
+    firsts = F.element_at(F.map_from_arrays(F.array(*[F.lit(a) for a in packed.attempts]), F.array(*[F.lit(int(o)) for o in offsets])), F.col(ATTEMPT))
+    numbered = packed.sizes.withColumn("at", (firsts + F.col("code")).cast("long"))
+    return numbered.join(centers, "at").select(ATTEMPT, "cluster_id", "size", "code", "center")
 
 
 def centroids(vectors: DataFrame, labels: DataFrame, key_cols: list[str] | None = None,
               id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """``(key.., cluster_id, center ARRAY<DOUBLE>)``: per-dimension means.
+    """``(key.., cluster_id, center ARRAY<DOUBLE>)``: per-dimension means; ``key_cols`` is none or the attempt.
 
-    Partial sums per (cluster, dimension) aggregate map-side, so a hot cluster
-    never gathers its rows; only d values per cluster are assembled.
+    At most one row per task and cluster is shuffled, so a hot cluster never gathers its rows.
     """
     k = list(key_cols or [])
-    long = (labels.join(vectors.select(id_col, vec_col), id_col)
-            .select(*k, "cluster_id", F.posexplode(vec_col).alias("dim", "v")))
-    means = long.groupBy(*k, "cluster_id", "dim").agg(F.avg("v").alias("v"))
-    return (means.groupBy(*k, "cluster_id")
-            .agg(F.sort_array(F.collect_list(F.struct("dim", "v"))).alias("_c"))
-            .select(*k, "cluster_id", F.transform("_c", lambda s: s["v"]).alias("center")))
+    tried = labels if k else labels.withColumn(ATTEMPT, F.lit(0))
+    packed = Packed(vectors.join(tried.select(id_col).distinct(), id_col, "left_semi"), tried, id_col, vec_col)
+    return vector_sums(packed).select(*k, "cluster_id", "center")
 
 
 def davies_bouldin(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
@@ -150,12 +249,21 @@ def davies_bouldin(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
     of ``max_j (S_k + S_j) / d(c_k, c_j)`` with zero centroid distances treated
     as infinite; 0.0 when all S or all centroid distances are (close to) zero.
     """
+    return packed_davies_bouldin(Packed(vectors, labels, id_col, vec_col), block_rows)
+
+
+def packed_davies_bouldin(packed: Packed, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """:func:`davies_bouldin` of packed attempts; the vectors are read where they are while the centroids are few enough to broadcast."""
     from sextant.functions.vectors import euclidean
 
     k = [ATTEMPT]
-    cents = centroids(vectors, labels, k, id_col, vec_col)
-    spread = (labels.join(vectors.select(id_col, vec_col), id_col).join(cents, k + ["cluster_id"])
-              .groupBy(*k, "cluster_id").agg(F.avg(euclidean(F.col(vec_col), F.col("center"))).alias("S")))
+    cents = cut_lineage(vector_sums(packed))
+    attempts = F.array(*[F.lit(a) for a in packed.attempts])
+    members = packed.rows.select("embedding", F.explode(F.arrays_zip(attempts.alias(ATTEMPT), F.col("codes").alias("code"))).alias("l"))
+    members = members.select("embedding", F.col(f"l.{ATTEMPT}").alias(ATTEMPT), F.col("l.code").alias("code"))
+    spread = (members.join(bounded_broadcast(cents.select(ATTEMPT, "code", "cluster_id", "center"), CLUSTERS_PER_TASK), k + ["code"])
+              .groupBy(*k, "cluster_id").agg(F.avg(euclidean(F.col("embedding"), F.col("center"))).alias("S")))
+    spread = cut_lineage(spread)
     c = cents.join(spread, k + ["cluster_id"])
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -181,18 +289,19 @@ def davies_bouldin(vectors: DataFrame, labels: DataFrame, id_col: str = "id",
 
 
 def score_attempts(vectors: DataFrame, labels: DataFrame, lam: float = 0.5, id_col: str = "id",
-                   vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   vec_col: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """``(param_idx, n_clusters, silhouette, balanced, davies_bouldin)`` for all attempts.
 
     Degenerate attempts (E5) are not scored: -inf for silhouette and balanced,
     +inf for Davies-Bouldin.
     """
+    labels = cut_lineage(labels.select(ATTEMPT, F.col(id_col).alias("id"), "cluster_id"))
     summary = attempt_summary(labels, [ATTEMPT])
     good = labels.join(summary.where(~F.col("degenerate")).select(ATTEMPT), ATTEMPT, "left_semi")
-    sil = (silhouette_samples(vectors, good, id_col, vec_col, block_rows)
-           .groupBy(ATTEMPT).agg(F.avg("silhouette").alias("silhouette")))
+    packed = Packed(vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("embedding")), good)
+    sil = packed_silhouettes(packed, block_rows).groupBy(ATTEMPT).agg(F.avg("silhouette").alias("silhouette"))
     pen = size_penalty(good, lam, [ATTEMPT])
-    db = davies_bouldin(vectors, good, id_col, vec_col, block_rows)
+    db = packed_davies_bouldin(packed) if packed.attempts else sil.select(ATTEMPT, F.lit(0.0).alias("davies_bouldin"))
     out = (summary.join(sil, ATTEMPT, "left").join(pen, ATTEMPT, "left").join(db, ATTEMPT, "left"))
     ninf, pinf = F.lit(float("-inf")), F.lit(float("inf"))
     return out.select(

@@ -326,8 +326,8 @@ def q_kmeans_fit(spark, sf):
 
 def q_dbscan_core(spark, sf):
     v = vectors(spark, sf)
-    rooted = D.dbscan_roots(v.select("id"), N.cosine_range_join(v, EMB_EPS), EMB_MS)
-    return rooted.select(F.col("id").alias("vec_id"), "degree", "is_core")
+    degree = (F.col("n_within") + 1).alias("degree")
+    return N.cosine_neighbor_stats(v, EMB_EPS).select(F.col("id").alias("vec_id"), degree, (degree >= EMB_MS).alias("is_core"))
 
 
 def q_dbscan(spark, sf):
