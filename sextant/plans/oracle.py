@@ -539,9 +539,17 @@ FROM sw_num n LEFT JOIN v USING (id) GROUP BY n.param_idx"""
     s["pack_prompts"] = prompts_sql() + """
 SELECT cluster_id, prompt_no, first_rank, last_rank, n_utterances,
        len(list_filter(regexp_split_to_array(prompt, '\\s+'), lambda w: w <> '')) AS n_words, prompt FROM packed"""
-    s["label_by_prompt"] = prompts_sql() + """
-SELECT cl.cluster_id, coalesce(k.candidate_intent, '') AS generated
-FROM (SELECT DISTINCT cluster_id FROM dc) cl LEFT JOIN krank k ON k.cluster_id = cl.cluster_id AND k.rn = 1"""
+    s["label_by_prompt"] = prompts_sql() + """,
+said AS (SELECT cluster_id, prompt_no, split_part(prompt[25:], '. What is the best fitting intent, if any, among the following: ', 1) AS said FROM packed),
+hits AS (SELECT s.cluster_id, s.prompt_no, k.rn, k.candidate_intent,
+                list_sum(list_transform(list_filter(string_split(k.candidate_intent, '-'), lambda p: p <> ''),
+                                        lambda p: (length(said) - length(replace(said, p, ''))) // length(p))) AS n
+         FROM said s JOIN krank k ON k.cluster_id = s.cluster_id AND k.rn <= 3),
+answers AS (SELECT cluster_id, prompt_no, arg_max(candidate_intent, struct_pack(n := coalesce(n, 0), r := -rn)) AS answer FROM hits GROUP BY ALL),
+tally AS (SELECT cluster_id, answer, count(*) AS n, min(prompt_no) AS f FROM answers GROUP BY ALL),
+most AS (SELECT cluster_id, arg_max(answer, struct_pack(n := n, f := -f)) AS answer FROM tally GROUP BY cluster_id)
+SELECT cl.cluster_id, coalesce(m.answer, '') AS generated
+FROM (SELECT DISTINCT cluster_id FROM dc) cl LEFT JOIN most m USING (cluster_id)"""
     s["label_cosine"] = _source_report() + "\nSELECT cluster_id, round(cosine_sim, 6) AS cosine_sim FROM rep"
     per_intent = """,
 ints AS (SELECT DISTINCT lang AS intent FROM documents),

@@ -28,7 +28,7 @@ from sextant.operators import neighbors as N
 from sextant.operators import prompts as P
 from sextant.operators import quality as Q
 from sextant.operators.embedding import hashed_counts, hashed_embedding
-from sextant.operators.inference import first_candidate_responder
+from sextant.operators.inference import best_matching_responder
 from sextant.operators.ordering import dense_index
 from sextant.operators.tokens import rule_annotate, token_heads
 from sextant.session import cut_lineage
@@ -434,7 +434,7 @@ def q_pack_prompts(spark, sf):
 
 
 def q_label_by_prompt(spark, sf):
-    return P.label_by_prompt(_role_candidates(spark, sf), first_candidate_responder, TOP_N)
+    return P.label_by_prompt(_role_candidates(spark, sf), best_matching_responder, TOP_N, batch_size=32)
 
 
 def q_label_cosine(spark, sf):

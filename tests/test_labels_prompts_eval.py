@@ -142,3 +142,47 @@ def test_copy_scorer(spark):
     lp = E.copy_scorer_logprobs(pairs, ["k"]).collect()
     want = [math.log(2 / (3 + E.SCORER_VOCAB))] * 2 + [math.log(1 / (3 + E.SCORER_VOCAB))]
     assert sorted(r["logprob"] for r in lp) == pytest.approx(sorted(want))
+
+
+def _fold(utts, wc, budget):
+    """(prompt_no, first, last, n, texts) by the sequential fold."""
+    out, texts, n, cost, first = [], [], 0, 0, None
+    for k, u in enumerate(utts):
+        w = len(u.split())
+        if any(texts) and 1 + w + 14 + wc + cost > budget:
+            out.append((len(out), first, k - 1, n, ", ".join(texts)))
+            texts, n, cost, first = [], 0, 0, None
+        if not any(texts):
+            texts, cost = [], 0
+        texts.append(u)
+        first, n, cost = (k if first is None else first), n + 1, cost + w + (not u or u[-1].isspace())
+    return [*out, (len(out), first, len(utts) - 1, n, ", ".join(texts) if any(texts) else "")]
+
+
+@pytest.mark.parametrize("by_join", [False, True])
+def test_packing_by_ranges_equals_the_fold(spark, monkeypatch, by_join):
+    import random
+
+    monkeypatch.setattr(P, "BROADCAST_ROW_LIMIT", 0 if by_join else 1000)
+    rng = random.Random(3)
+    kinds = ["", "", " ", "a b ", "w", "w x y", "w " * 9, "v " * 40, "long " * 70]
+    clusters = {c: [rng.choice(kinds).strip(" ") if rng.random() < 0.7 else rng.choice(kinds) for _ in range(n)] for c, n in ((1, 400), (2, 3), (3, 90))}
+    clusters[4], clusters[5] = [""] * 120, [""] * 60 + ["w x"] + [""] * 60  # open over whole ranges
+    rows = [(c, k, u) for c, us in clusters.items() for k, u in enumerate(us)]
+    rng.shuffle(rows)
+    utts = spark.createDataFrame(rows, "cluster_id int, rank long, text string")
+    cands = spark.createDataFrame([(c, "p-q") for c in clusters], "cluster_id int, candidates string")
+    got = P.pack_prompts(utts, cands, budget=60, range_rows=25).collect()
+    want = [(c, *p) for c, us in clusters.items() for p in _fold(us, 1, 60)]
+    found = [(r["cluster_id"], r["prompt_no"], r["first_rank"], r["last_rank"], r["n_utterances"],
+              r["prompt"][len("Given these utterances: "):r["prompt"].rindex(". What is")]) for r in got]
+    assert sorted(found) == sorted(want)
+
+
+def test_batched_responder_reads_the_utterances(spark):
+    from sextant.operators.inference import answer_prompts, best_matching_responder
+
+    prompts = [LABEL_PROMPT % ("cancel my order, order", "book-flight, cancel-order"), LABEL_PROMPT % ("x", "a-b, c-d"), None, "no prompt", LABEL_PROMPT % ("x", "")]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(prompts)], "k int, prompt string").coalesce(1)
+    got = [r["response"] for r in answer_prompts(df, best_matching_responder, batch_size=2).orderBy("k").collect()]
+    assert got == ["cancel-order", "a-b", None, "", ""]
