@@ -11,21 +11,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sextant.operators.cells import UNIT, Block, on_block_pairs, paired, strip_columns, whole_distances, whole_radius
 from sextant.operators.blocks import (DEFAULT_BLOCK_ROWS, cosine_distance_matrix, euclidean_matrix,
                                       pairwise_apply, stack)
 
 DIST_DECIMALS = 9
+#: Rows of the tiles that are compared at once.
+TILE_ROWS = 1024
+
+
+def _pairs_within(left: Block, right: Block, same: bool, limit: int) -> dict:
+    left, right, may = paired(left, right, same, limit)
+    i, j, w = [], [], []
+    for rows, cols in strip_columns(may, 0, len(left.ids), len(right.ids), above=same):
+        d = whole_distances(left.x[rows], right.x[cols])
+        r, c = np.nonzero(d <= limit)
+        a, b = left.ids[rows][r], right.ids[cols[c]]
+        keep = (cols[c] > rows.start + r) & (a != b) if same else a != b
+        i.append(np.minimum(a, b)[keep])
+        j.append(np.maximum(a, b)[keep])
+        w.append(d[r, c][keep])
+    i, j, w = (np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in (i, j, w))
+    return {"i": i, "j": j, "dist": w / UNIT}
 
 
 def cosine_range_join(df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "embedding",
-                      key_cols: list[str] | None = None,
-                      block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                      key_cols: list[str] | None = None, block_rows: int | None = None) -> DataFrame:
     """All pairs ``(i < j)`` with cosine distance ``<= eps`` -> ``(key.., i, j, dist)``.
 
-    Exact.  Work is O(N^2 d / P) spread over block pairs; output is only the
-    pairs under the radius.
+    Exact.  Output is only the pairs under the radius; strips of rows that
+    the triangle inequality keeps further apart are not compared.  With
+    ``key_cols`` only rows of the same key are paired, all of them compared.
     """
-    key_cols = list(key_cols or [])
+    if not key_cols:
+        limit = whole_radius(eps)
+        return on_block_pairs(df.select(id_col, vec_col), id_col, vec_col, [], "i long, j long, dist double",
+                              lambda a, b, same: _pairs_within(a, b, same, limit), block_rows)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         ia, ib = left[id_col].to_numpy(), right[id_col].to_numpy()
@@ -38,29 +59,38 @@ def cosine_range_join(df: DataFrame, eps: float, id_col: str = "id", vec_col: st
         x, y = ia[r], ib[c]
         return pd.DataFrame({"i": np.minimum(x, y), "j": np.maximum(x, y), "dist": d[r, c]})
 
-    cols = key_cols + [id_col, vec_col]
-    return pairwise_apply(df.select(*cols), id_col, key_cols, kernel,
-                          "i long, j long, dist double", block_rows)
+    return pairwise_apply(df.select(*key_cols, id_col, vec_col), id_col, key_cols, kernel,
+                          "i long, j long, dist double", block_rows or DEFAULT_BLOCK_ROWS)
+
+
+def _stats(left: Block, right: Block, same: bool, limit: int) -> dict:
+    """Per row of both blocks its neighbours within ``limit`` in the other and its nearest row there."""
+    n, nn = ([np.zeros(len(b.ids), dtype=np.int64) for b in (left, right)], [np.full(len(b.ids), 4 * UNIT) for b in (left, right)])
+    for rows in left.tiles(TILE_ROWS):
+        for cols in right.tiles(TILE_ROWS):
+            d = whole_distances(left.x[rows], right.x[cols])
+            d[left.ids[rows][:, None] == right.ids[cols][None, :]] = 4 * UNIT
+            n[0][rows] += (d <= limit).sum(axis=1)
+            nn[0][rows] = np.minimum(nn[0][rows], d.min(axis=1))
+            if not same:
+                n[1][cols] += (d <= limit).sum(axis=0)
+                nn[1][cols] = np.minimum(nn[1][cols], d.min(axis=0))
+    sides = (0,) if same else (0, 1)
+    ids = np.concatenate([(left, right)[s].ids for s in sides])
+    nearest = np.concatenate([nn[s] for s in sides])
+    return {"id": ids, "n": np.concatenate([n[s] for s in sides]), "nn": np.where(nearest < 4 * UNIT, nearest / UNIT, np.inf)}
 
 
 def cosine_neighbor_stats(df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "embedding",
-                          block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                          block_rows: int | None = None) -> DataFrame:
     """V1 reduced per row: neighbours within ``eps`` (self excluded) and nearest-neighbour distance.
 
-    Each block pair emits per-row partials; a group-by combines them.
+    Each block pair emits one partial per row; a group-by combines them.  The
+    nearest row may be at any distance, so all pairs are compared.
     """
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        ia, ib = left[id_col].to_numpy(), right[id_col].to_numpy()
-        d = np.round(cosine_distance_matrix(stack(left[vec_col]), stack(right[vec_col])), DIST_DECIMALS)
-        self_mask = ia[:, None] == ib[None, :]
-        d = np.where(self_mask, np.inf, d)
-        parts = [pd.DataFrame({"id": ia, "n": (d <= eps).sum(1), "nn": d.min(1)})]
-        if not same:
-            parts.append(pd.DataFrame({"id": ib, "n": (d <= eps).sum(0), "nn": d.min(0)}))
-        return pd.concat(parts, ignore_index=True)
-
-    partial = pairwise_apply(df.select(id_col, vec_col), id_col, [], kernel,
-                             "id long, n long, nn double", block_rows)
+    limit = whole_radius(eps)
+    partial = on_block_pairs(df.select(id_col, vec_col), id_col, vec_col, [], "id long, n long, nn double",
+                             lambda a, b, same: _stats(a, b, same, limit), block_rows)
     return partial.groupBy(F.col("id").alias(id_col)).agg(
         F.sum("n").alias("n_within"), F.min("nn").alias("nn_dist"))
 
@@ -84,25 +114,3 @@ def euclidean_neighbor_stats(df: DataFrame, id_col: str = "id", vec_col: str = "
                              "id long, s double, c long, nn double", block_rows)
     return partial.groupBy(F.col("id").alias(id_col)).agg(
         F.min("nn").alias("nn_dist"), (F.sum("s") / F.sum("c")).alias("mean_dist"))
-
-
-def approximate_cosine_join(df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "embedding",
-                            bucket_length: float = 0.5, num_tables: int = 4) -> DataFrame:
-    """Opt-in *approximate* J4 for very large N: random-projection LSH on unit vectors.
-
-    On unit vectors Euclidean distance is ``sqrt(2 * cosine distance)``, so the
-    LSH join threshold is ``sqrt(2 * eps)``.  May miss pairs; never used by the
-    exact operators.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda a, v: a + v * v))
-    unit = df.select(id_col, array_to_vector(F.transform(
-        vec_col, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=42).fit(unit)
-    pairs = lsh.approxSimilarityJoin(unit, unit, float(np.sqrt(2 * eps)), distCol="ed")
-    return (pairs.where(F.col(f"datasetA.{id_col}") < F.col(f"datasetB.{id_col}"))
-            .select(F.col(f"datasetA.{id_col}").alias("i"), F.col(f"datasetB.{id_col}").alias("j"),
-                    F.round(F.col("ed") * F.col("ed") / 2, DIST_DECIMALS).alias("dist")))

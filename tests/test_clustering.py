@@ -308,3 +308,31 @@ def test_alignment_check(spark):
     lab = spark.createDataFrame([(0, i, 0) for i in [0, 1, 2, 3, 9]], "param_idx int, id long, cluster_id int")
     r = Q.alignment_check(v, lab).first()
     assert (r["labels_without_vector"], r["vectors_without_label"]) == (1, 1)
+
+
+def test_strips_beyond_the_radius_are_not_compared(spark):
+    """The documents at radius 0.1: clearly fewer than all pairs are compared, and none within it is missed."""
+    from sextant.operators import cells
+    from sextant.operators.embedding import hashed_embedding
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hashed_embedding(docs.selectExpr("doc_id as id", "text"), 256).collect()
+    x = cells.unit_rows(np.array([r["embedding"] for r in rows], dtype=float))
+    x[7] = 0
+    block, limit = cells.Block(np.arange(len(x)), x, {}), cells.whole_radius(0.1)
+    left, right, may = cells.paired(block, block, True, limit)
+    compared = sum((s.stop - s.start) * len(cols) for s, cols in cells.strip_columns(may, 0, len(x), len(x), above=True))
+    assert compared < 0.8 * len(x) ** 2 / 2
+    whole = slice(0, len(x))
+    seen = cells.distances_within(left, right, whole, whole, may, 2 * cells.UNIT) <= limit
+    assert np.array_equal(cells.whole_distances(left.x, right.x) <= limit, seen)
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.05, 0.4, 1.0, 2.0])
+def test_range_join_in_cells_equals_all_pairs(spark, eps):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((3, 6)).repeat(100, axis=0) + 0.2 * rng.standard_normal((300, 6)), np.zeros((2, 6)), -np.ones((40, 6))])
+    d = np.round(1 - (u := x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ u.T, 9)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= eps}
+    got = [(r["i"], r["j"]) for r in cosine_range_join(vec_df(spark, x), eps, block_rows=150).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
