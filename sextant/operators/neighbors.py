@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.operators.cells import UNIT, Block, on_block_pairs, paired, strip_columns, whole_distances, whole_radius
+from sextant.operators.cells import UNIT, Block, extent, on_block_pairs, paired, strip_columns, whole_distances, whole_radius
 from sextant.operators.blocks import (DEFAULT_BLOCK_ROWS, cosine_distance_matrix, euclidean_matrix,
                                       pairwise_apply, stack)
 
@@ -46,7 +46,7 @@ def cosine_range_join(df: DataFrame, eps: float, id_col: str = "id", vec_col: st
     if not key_cols:
         limit = whole_radius(eps)
         return on_block_pairs(df.select(id_col, vec_col), id_col, vec_col, [], "i long, j long, dist double",
-                              lambda a, b, same: _pairs_within(a, b, same, limit), block_rows)
+                              lambda a, b, same: _pairs_within(a, b, same, limit), extent(df, vec_col, block_rows))
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         ia, ib = left[id_col].to_numpy(), right[id_col].to_numpy()
@@ -90,7 +90,7 @@ def cosine_neighbor_stats(df: DataFrame, eps: float, id_col: str = "id", vec_col
     """
     limit = whole_radius(eps)
     partial = on_block_pairs(df.select(id_col, vec_col), id_col, vec_col, [], "id long, n long, nn double",
-                             lambda a, b, same: _stats(a, b, same, limit), block_rows)
+                             lambda a, b, same: _stats(a, b, same, limit), extent(df, vec_col, block_rows))
     return partial.groupBy(F.col("id").alias(id_col)).agg(
         F.sum("n").alias("n_within"), F.min("nn").alias("nn_dist"))
 

@@ -336,3 +336,39 @@ def test_range_join_in_cells_equals_all_pairs(spark, eps):
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= eps}
     got = [(r["i"], r["j"]) for r in cosine_range_join(vec_df(spark, x), eps, block_rows=150).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_forest_paths_for_many_rows_equal_those_for_few(spark):
+    """Several blocks, edges merged over tasks and components found together, against the sequential scan; radii not in order."""
+    from sextant.operators.cells import extent
+    from sextant.operators.spanning import density_roots
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((5, 4)).repeat(12, axis=0) + 0.25 * rng.standard_normal((60, 4)), np.zeros((2, 4))])
+    x[20:24] = x[20]
+    df = vec_df(spark, x)
+    for min_samples, radii in ((1, [0.2]), (4, [0.2, 0.01])):
+        roots = density_roots(df, radii, min_samples, size=extent(df, "embedding", block_rows=20), per_task=30)
+        got = D.number_clusters(roots, ["param_idx"]).collect()
+        for p, eps in enumerate(radii):
+            found = [r["cluster_id"] for r in sorted(got, key=lambda r: r["id"]) if r["param_idx"] == p]
+            assert found == ref_dbscan(x, eps, min_samples), (eps, min_samples)
+
+
+def test_forest_of_a_block_pair_has_fewer_edges_than_rows():
+    from sextant.operators import cells, spanning
+
+    rng = np.random.default_rng(9)
+    x = cells.unit_rows(rng.standard_normal((300, 5)))
+    core = np.full(300, 1000, dtype=np.int64)
+    a, b = (cells.Block(np.arange(300)[s], x[s], {"core": core[s]}) for s in (slice(0, 140), slice(140, 300)))
+    for left, right, same in ((a, a, True), (a, b, False)):
+        got = spanning._reach(left, right, same, cells.whole_radius(2.0))
+        rows = len(left.ids) + (0 if same else len(right.ids))
+        assert len(got["w"]) == rows - 1
+        i, j = (left.ids, left.ids) if same else (left.ids, right.ids)
+        d = np.maximum(cells.whole_distances(x[i], x[j]), 1000)
+        u, v = np.meshgrid(i, j, indexing="ij")
+        off = u != v
+        keep = spanning.forest_of(d[off], u[off], v[off])
+        assert sorted(d[off][keep]) == sorted(got["w"])
