@@ -2,10 +2,16 @@
 
 A window of words that recurs holds a short phrase, its least by hash among
 all phrases inside it, that recurs with it.  So phrases are counted over the
-whole corpus first.  Documents are dealt into chunks of bounded size; each
-chunk compiles the recurring phrases that concern it into an Aho-Corasick
-automaton and streams its documents through it.  Windows around the places
-found are counted over the corpus and, where they recur, their words removed.
+whole corpus first, then the windows around recurring phrases: those that
+recur are confirmed.  One chunk of documents, the first that has a confirmed
+window, cuts the passages of such windows out of its texts, in pieces of
+bounded length; every chunk that has one of a passage's windows gets the
+passage.
+
+A chunk's passages are a shard: their phrases are compiled into an
+Aho-Corasick automaton, through which the chunk's documents are streamed.
+Where a phrase is found, the document's words and the passage's are compared
+to both sides, and a stretch of a window or more in common is removed.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -27,6 +33,8 @@ from sextant.session import bounded_broadcast
 
 #: Words of a phrase.
 PHRASE = 8
+#: Windows of one piece of a passage.
+PIECE_WINDOWS = 128
 #: Bytes of text of one chunk, about.
 CHUNK_BYTES = 2 << 20
 #: Bytes of text that are hashed together.
@@ -40,7 +48,9 @@ def _phrase_anchors(split: list[list[bytes]], window: int) -> tuple[np.ndarray,
     # phrases that run over a text's end lie in no window of one text
     at = anchors(hashes, window - PHRASE + 1, _phrases_of(n_words))
     text = np.searchsorted(np.cumsum(n_words), at, side="right")
-    return text, at - (np.cumsum(n_words) - n_words)[text], hashes[at].view(np.int64)
+    place = at - (np.cumsum(n_words) - n_words)[text]
+    whole = place + PHRASE <= n_words[text]
+    return text[whole], place[whole], hashes[at[whole]].view(np.int64)
 
 
 def _phrases_of(n_words: np.ndarray) -> np.ndarray:
@@ -50,10 +60,9 @@ def _phrases_of(n_words: np.ndarray) -> np.ndarray:
 
 
 def _window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window, of 64 and 15 bits."""
+    """Two independent hashes of every window, of 64 bits each."""
     joined = b" ".join(words)
-    second = run_hashes(word_hashes(joined, 1), window, 1) >> np.uint64(49)
-    return run_hashes(word_hashes(joined), window).view(np.int64), second.astype(np.int16)
+    return run_hashes(word_hashes(joined), window).view(np.int64), run_hashes(word_hashes(joined, 1), window, 1).view(np.int64)
 
 
 def _count(keys: list[np.ndarray]) -> list[np.ndarray]:
@@ -81,61 +90,95 @@ def _phrase_counts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _recurring_phrases(counts: DataFrame) -> DataFrame:
-    """``(chunk, phrase)`` of phrases that occur at least twice in all; summed, a phrase has one row per chunk."""
-    per_chunk = counts.groupBy("chunk", "phrase").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("phrase"))
-    return per_chunk.withColumn("total", total).where("total > 1").select("chunk", "phrase")
+    """``(chunk, phrase)`` of phrases that occur at least twice in all; a hot phrase is counted before it is joined."""
+    twice = counts.groupBy("phrase").agg(F.sum("n").alias("total")).where("total > 1").select("phrase")
+    return counts.select("chunk", "phrase").join(twice, "phrase").distinct()
 
 
-def _single_windows(counts: DataFrame) -> DataFrame:
-    """``(chunk, h, g)`` of windows that occur once in all; the counts are a chunk's, so a window has few rows."""
-    total = F.sum("n").over(Window.partitionBy("h", "g"))
-    return counts.withColumn("total", total).where("total = 1").select("chunk", "h", "g")
+def _confirmed(counts: DataFrame) -> DataFrame:
+    """``(chunk, h, g, first)`` of windows that occur at least twice in all, with the least chunk that has them."""
+    shared = counts.groupBy("h", "g").agg(F.sum("n").alias("total"), F.min("chunk").alias("first")).where("total > 1").drop("total")
+    return counts.join(shared, ["h", "g"]).select("chunk", "h", "g", "first").distinct()
 
 
-def _among(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
-    """Which pairs (h, g) are among the known ones."""
-    order = np.argsort(known_h, kind="stable")
-    known_h, known_g = known_h[order], known_g[order]
+def _place(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
+    """Where the pairs (h, g) are among the known ones, sorted by both; -1 if they are not."""
     lo, hi = np.searchsorted(known_h, h, "left"), np.searchsorted(known_h, h, "right")
+    at = np.full(len(h), -1)
     found = hi > lo
-    found[found] = known_g[lo[found]] == g[found]
+    at[found] = np.where(known_g[lo[found]] == g[found], lo[found], -1)
     for i in np.flatnonzero(hi - lo > 1).tolist():
-        found[i] = (known_g[lo[i]:hi[i]] == g[i]).any()
-    return found
+        same = np.flatnonzero(known_g[lo[i]:hi[i]] == g[i])
+        at[i] = lo[i] + same[0] if len(same) else -1
+    return at
 
 
-def _locate(texts: list[bytes], recurring: np.ndarray, window: int) -> Iterator[np.ndarray]:
-    """Starts of the windows around recurring phrases, per text, found by one automaton."""
-    split = [t.split() for t in texts]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+def _near_phrases(split: list[list[bytes]], recurring: np.ndarray, window: int) -> Iterator[np.ndarray]:
+    """Per text the starts of the windows that hold a recurring phrase which is the least of some window."""
     of, at, hashes = _phrase_anchors(split, window)
-    first = np.unique(hashes, return_index=True)[1]  # a phrase goes in once
-    first = first[np.isin(hashes[first], recurring)]
-    for t, k in zip(of[first].tolist(), at[first].tolist()):
-        automaton.add_word((b" " + b" ".join(split[t][k:k + PHRASE]) + b" ").decode())
-    if not len(automaton):
-        yield from (np.empty(0, dtype=np.int64) for _ in split)
-        return
-    automaton.make_automaton()
-    for words in split:
-        if len(words) < window:
+    known = np.isin(hashes, recurring)
+    of, at = of[known], at[known]
+    first = np.searchsorted(of, np.arange(len(split) + 1))
+    for t, words in enumerate(split):
+        here = at[first[t]:first[t + 1]]
+        if len(words) < window or not len(here):
             yield np.empty(0, dtype=np.int64)
             continue
-        line = " " + b" ".join(words).decode() + " "
-        ends = np.fromiter((end for end, _ in automaton.iter(line)), dtype=np.int64)
-        if not len(ends):
-            yield ends
-            continue
-        spaces = np.cumsum([0, *(1 + len(w) for w in line[1:-1].split(" "))])  # places of the spaces in the line
-        first = np.searchsorted(spaces, ends) - PHRASE  # a match ends in the space behind its last word
         inside = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(inside, np.maximum(first - (window - PHRASE), 0), 1)
-        np.add.at(inside, first + 1, -1)
+        np.add.at(inside, np.maximum(here - (window - PHRASE), 0), 1)
+        np.add.at(inside, here + 1, -1)
         starts = np.flatnonzero(np.cumsum(inside) > 0)
         yield starts[starts <= len(words) - window]
 
 
+def _stretches(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of the runs of consecutive numbers."""
+    if len(at):
+        edges = np.flatnonzero(np.diff(at) != 1)
+        yield from zip(at[np.append(0, edges + 1)].tolist(), at[np.append(edges, -1)].tolist())
+
+
+class PassageAutomaton:
+    """The phrases of confirmed passages, each with the passages and places where it stands."""
+
+    def __init__(self, passages: list[list[bytes]], window: int):
+        self.passages, self.window = passages, window
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        where: dict[str, list[tuple[int, int]]] = {}
+        of, at, _ = _phrase_anchors(passages, window)
+        for p, k in zip(of.tolist(), at.tolist()):
+            where.setdefault((b" " + b" ".join(passages[p][k:k + PHRASE]) + b" ").decode(), []).append((p, k))
+        for phrase, places in where.items():
+            self.automaton.add_word(phrase, places)
+        if where:
+            self.automaton.make_automaton()
+
+    def found(self, words: list[bytes]) -> np.ndarray:
+        """Which words lie in a stretch of a window or more that a passage has too."""
+        gone = np.zeros(len(words), dtype=bool)
+        if not len(self.automaton) or len(words) < self.window:
+            return gone
+        line = " " + b" ".join(words).decode() + " "
+        spaces = np.cumsum([0, *(1 + len(w) for w in line[1:-1].split(" "))])  # places of the spaces in the line
+        done: dict[tuple[int, int], int] = {}  # how far a passage, laid against the text at a shift, was compared
+        for end, places in self.automaton.iter(line):
+            at = int(np.searchsorted(spaces, end)) - PHRASE  # a match ends in the space behind its last word
+            for p, k in places:
+                if done.get((p, at - k), -1) > at:
+                    continue
+                passage = self.passages[p]
+                back = 0
+                while back < k and back < at and words[at - back - 1] == passage[k - back - 1]:
+                    back += 1
+                to, stop = at + PHRASE, min(len(words), at + len(passage) - k)
+                while to < stop and words[to] == passage[to - at + k]:
+                    to += 1
+                done[p, at - k] = to
+                if to - at + back >= self.window:
+                    gone[at - back:to] = True
+        return gone
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -205,15 +248,13 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
         if not len(left):
             return located.empty_table()
         texts = as_bytes(left.column("text").combine_chunks())
-        given = [t or b"" for t in texts]
+        split = [(t or b"").split() for t in texts]
         runs, n_words, digests = [], [], []
-        for text, starts in zip(given, _locate(given, right.column("phrase").to_numpy(), window)):
-            words = text.split()
+        for words, starts in zip(split, _near_phrases(split, right.column("phrase").to_numpy(), window)):
             n_words.append(len(words))
             digests.append(None if len(starts) else _digest(words))
-            edges = np.flatnonzero(np.diff(starts) != 1)
-            runs.append([x for a, b in zip(starts[np.append(0, edges + 1)], starts[np.append(edges, -1)]) for x in (int(a), int(b) + 1)]
-                        if len(starts) else [])
+            runs.append([x for first, last in _stretches(starts) for x in (first, last + 1)])
+        del split
         give_back()
         text = pa.array([t if with_text or r else None for t, r in zip(texts, runs)], pa.binary()).cast(pa.string())
         return pa.Table.from_arrays([*(left.column(n) for n in names), left.column("chunk"), pa.array(n_words, pa.int64()),
@@ -239,32 +280,57 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(h), pa.array(g), pa.array(n, pa.int32())],
                                                  ["chunk", "h", "g", "n"])
 
-    counts = touched.select("chunk", "runs", "text").mapInArrow(hashes, "chunk int, h long, g short, n int")
-    single = _single_windows(counts)
+    counts = touched.select("chunk", "runs", "text").mapInArrow(hashes, "chunk int, h long, g long, n int")
+    confirmed = stored(_confirmed(stored(counts, "windows")), "confirmed")
+
+    def cut_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return cut.empty_table()
+        h, g = right.column("h").to_numpy(), right.column("g").to_numpy()
+        order = np.lexsort((g, h))
+        h, g, given = h[order], g[order], np.zeros(len(order), dtype=bool)
+        chunk, texts, hashed_as = key[0].as_py(), [], []
+        for text, runs in zip(as_bytes(left.column("text").combine_chunks()), left.column("runs").to_pylist()):
+            words, at = text.split(), _expand(runs)
+            one, two = _window_hashes(words, window)
+            place = _place(one[at], two[at], h, g)
+            fresh = np.zeros(len(at), dtype=bool)
+            fresh[np.unique(place, return_index=True)[1]] = True  # of equal windows of this text the first
+            fresh &= (place >= 0) & ~given[place]
+            given[place[fresh]] = True
+            for first, last in _stretches(at[fresh]):
+                for a in range(first, last + 1, PIECE_WINDOWS):
+                    b = min(last, a + PIECE_WINDOWS - 1)
+                    texts.append(b" ".join(words[a:b + window]))
+                    hashed_as.append(one[a:b + 1])
+        give_back()
+        return pa.Table.from_arrays([pa.array((chunk << 32) + np.arange(len(texts)), pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()),
+                                     pa.array(hashed_as, pa.list_(pa.int64()))], schema=cut)
+
+    cut = pa.schema([("passage", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64()))])
+    own = confirmed.where("chunk = first").select("chunk", "h", "g")
+    passages = stored(touched.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(cut_out, "passage long, words string, h array<long>"), "passages")
+    asked = confirmed.select("chunk", "h").join(passages.select("passage", F.explode("h").alias("h")), "h").select("chunk", "passage").distinct()
+    shards = asked.join(passages.select("passage", "words"), "passage").select("chunk", "words")
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return removed.empty_table()
-        h, g = right.column("h").to_numpy(), right.column("g").to_numpy()
+        automaton = PassageAutomaton([p.split() for p in as_bytes(right.column("words").combine_chunks())], window)
         n_removed, digests, texts = [], [], []
-        for text, runs in zip(as_bytes(left.column("text").combine_chunks()), left.column("runs").to_pylist()):
+        for text in as_bytes(left.column("text").combine_chunks()):
             words = text.split()
-            one, two = _window_hashes(words, window)
-            at = _expand(runs)
-            hit = ~_among(one[at], two[at], h, g)
-            cover = np.zeros(len(words) + 1, dtype=np.int64)
-            np.add.at(cover, at[hit], 1)
-            np.add.at(cover, at[hit] + window, -1)
-            gone = np.cumsum(cover)[:-1] > 0
+            gone = automaton.found(words)
             n_removed.append(int(gone.sum()))
             digests.append(_digest([w for w, x in zip(words, gone.tolist()) if not x]))
             texts.append((_cut(text, words, gone) if gone.any() else text) if with_text else None)
+        give_back()
         return pa.Table.from_arrays([*(left.column(n) for n in names), left.column("n_words"), pa.array(n_removed, pa.int64()),
                                      pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], schema=removed)
 
     removed = pa.schema([*zip(names, arrow), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                          ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-    changed = touched.groupBy("chunk").cogroup(single.groupBy("chunk")).applyInArrow(
+    changed = touched.groupBy("chunk").cogroup(shards.groupBy("chunk")).applyInArrow(
         remove, result_schema(docs, fields, "n_words long, n_removed long, kept_sha256 string, kept_text string"))
     untouched = found.where(F.size("runs") == 0).select(*names, "n_words", F.lit(0).cast("long").alias("n_removed"),
                                                         F.col("sha").alias("kept_sha256"), F.col("text").alias("kept_text"))

@@ -251,3 +251,35 @@ def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(wordhash, "SLICE", 1000)
     assert (word_hashes(text) == whole).all() and len(whole) == 5000
     assert (run_hashes(whole, 4)[1000:1010] == run_hashes(whole[1000:1013], 4)).all()
+
+
+def test_the_automaton_decides_what_goes(docs_of, monkeypatch):
+    """Hashes only propose: windows that agree in all hashes but not in words stay, and nothing goes that the automaton does not find."""
+    rng = random.Random(6)
+    unlike = [(k, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(60))) for k in range(12)]
+    for k in range(1, 12):  # a recurring phrase in each, so that their windows are looked at
+        unlike[k] = (k, unlike[k][1] + " " + " ".join(unlike[0][1].split()[20:30]) + "".join(f" e{k}x{j}" for j in range(40)))
+    alike = [(20, unlike[0][1] + " tail"), (21, "head " + unlike[0][1])]
+    found = phrases.remove_repeated_windows(docs_of(unlike + alike), window=35)
+    assert {r["doc_id"] for r in found.collect() if r["n_removed"]} == {0, 20, 21}
+    monkeypatch.setattr(phrases, "_window_hashes", lambda words, window: (np.zeros(max(len(words) - window + 1, 0), np.int64),) * 2)
+    assert len(collected(phrases.remove_repeated_windows(docs_of(unlike[1:]), window=35).where("n_removed > 0"), "doc_id")) <= 1  # its own passage
+    monkeypatch.undo()
+    monkeypatch.setattr(phrases.PassageAutomaton, "found", lambda self, words: np.zeros(len(words), dtype=bool))
+    assert collected(phrases.remove_repeated_windows(docs_of(unlike + alike), window=35).where("n_removed > 0"), "doc_id") == []
+
+
+def test_passage_automaton_against_all_stretches():
+    rng = random.Random(7)
+    passages = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randrange(12, 40))] for _ in range(6)]
+    for _ in range(40):
+        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(20)]
+        p = rng.choice(passages)
+        k = rng.randrange(len(p) - 11)
+        words += p[k:k + rng.randrange(9, 16)] + [b"d"] + rng.choice(passages)[:12]
+        want = np.zeros(len(words), dtype=bool)
+        whole = {tuple(p[k:k + 12]) for p in passages for k in range(len(p) - 11)}
+        for at in range(len(words) - 11):
+            if tuple(words[at:at + 12]) in whole:
+                want[at:at + 12] = True
+        assert np.array_equal(phrases.PassageAutomaton(passages, 12).found(words), want)
