@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from sextant.functions.vectors import cosine_similarity
 from sextant.operators.candidates import keep_candidates
-from sextant.operators.ordering import top_by_count
+from sextant.operators.ordering import rank_in_groups, top_by_count
+from sextant.session import bounded_broadcast
+
+#: Centres that may be broadcast.
+CENTER_ROWS = 20_000
 
 
 def label_most_frequent(df: DataFrame, cluster_col: str = "cluster_id", id_col: str = "id",
@@ -77,16 +81,15 @@ def broadcast_labels(rows: DataFrame, labels: DataFrame, cluster_col: str = "clu
 
 def centroid_similarity(vectors: DataFrame, centers: DataFrame, cluster_col: str = "cluster_id",
                         vec_col: str = "embedding", center_col: str = "center") -> DataFrame:
-    """Cosine of every row with its own cluster centre (equi-join on the cluster)."""
-    joined = vectors.join(centers.select(cluster_col, center_col), cluster_col)
+    """Cosine of every row with its own cluster centre; few centres are broadcast, so a hot cluster is not gathered."""
+    joined = vectors.join(bounded_broadcast(centers.select(cluster_col, center_col), CENTER_ROWS), cluster_col)
     return joined.withColumn("cos_sim", cosine_similarity(F.col(vec_col), F.col(center_col)))
 
 
 def order_by_centroid(sims: DataFrame, cluster_col: str = "cluster_id", id_col: str = "id",
                       sim_col: str = "cos_sim") -> DataFrame:
     """Rank members by similarity to the centre, desc; ties keep row order (id)."""
-    w = Window.partitionBy(cluster_col).orderBy(F.col(sim_col).desc(), F.col(id_col).asc())
-    return sims.withColumn("rank", F.row_number().over(w))
+    return rank_in_groups(sims, [cluster_col], [F.col(sim_col).desc(), F.col(id_col).asc()])
 
 
 def dedup_keep_first(df: DataFrame, cluster_col: str = "cluster_id", rank_col: str = "rank",

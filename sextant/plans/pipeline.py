@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,15 @@ from sextant.operators import quality as Q
 from sextant.operators.embedding import hashed_embedding
 from sextant.operators.inference import embed, first_candidate_responder
 from sextant.plans.config import canonical, draw_hyperparameters, validate
-from sextant.sources.store import config_key, materialize
+from sextant.sources.store import config_key, materialize, resumable_attempts
 
 # Default sweep settings (fixed values of the original configuration).
 KMEANS_K_RANGE = (2, 200)
 DBSCAN_EPS0, DBSCAN_STEP, DBSCAN_RUNS, DBSCAN_MIN_SAMPLES = 0.10, 0.01, 100, 5
 
+# Attempts that are built and stored together; the radii of DBSCAN share their passes, so all of them are.
+ATTEMPTS_AT_ONCE = {"kmeans": 50, "iter_dbscan": 10}
+
 
 @dataclass
 class Models:
@@ -67,25 +71,43 @@ def embeddings(utts: DataFrame, config: dict, models: Models, store: str | None
     return materialize(utts.sparkSession, store, config_key(config, "embedding_model_name") + "/embeddings", build)
 
 
-def attempts(vectors: DataFrame, config: dict, models: Models) -> DataFrame:
-    """Stage 1b: every clustering attempt of the configured algorithm -> ``(param_idx, id, cluster_id)``."""
+def settings(vectors: DataFrame, config: dict, models: Models) -> list:
+    """The configured algorithm's parameter of every attempt, by ``param_idx`` (k itself for k-means)."""
     algo = config["clustering_algorithm"]
     if algo == "kmeans":
-        n = vectors.count()
-        return K.kmeans_sweep(vectors, K.clamp_k_range(n, *KMEANS_K_RANGE))
+        return list(K.clamp_k_range(vectors.count(), *KMEANS_K_RANGE))
     if algo == "dbscan":
-        return D.dbscan_sweep(vectors, D.eps_schedule(DBSCAN_EPS0, DBSCAN_STEP, DBSCAN_RUNS), DBSCAN_MIN_SAMPLES)
+        return D.eps_schedule(DBSCAN_EPS0, DBSCAN_STEP, DBSCAN_RUNS)
     if algo == "iter_dbscan":
-        runs = []
-        for p, params in enumerate(iter_dbscan_settings(vectors.sparkSession, models)):
-            runs.append(D.iter_dbscan(vectors, **params).withColumn("param_idx", F.lit(p)))
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out.select("param_idx", "id", "cluster_id")
+        return iter_dbscan_settings(vectors.sparkSession, models)
     raise ValueError(f"unsupported clustering algorithm {algo!r}")
 
 
+def attempts(vectors: DataFrame, config: dict, models: Models, some: list[int] | None = None) -> DataFrame:
+    """Stage 1b: clustering attempts of the configured algorithm, all or those of ``some`` indices -> ``(param_idx, id, cluster_id)``."""
+    algo, given = config["clustering_algorithm"], settings(vectors, config, models)
+    if algo == "kmeans":
+        return K.kmeans_sweep(vectors, given if some is None else some)
+    some = list(range(len(given))) if some is None else some
+    if algo == "dbscan":
+        found = D.dbscan_sweep(vectors, [given[p] for p in some], DBSCAN_MIN_SAMPLES)
+        return found.withColumn("param_idx", F.element_at(F.array(*[F.lit(p) for p in some]), F.col("param_idx") + 1))
+    runs = [D.iter_dbscan(vectors, **given[p]).withColumn("param_idx", F.lit(p)) for p in some]
+    return reduce(DataFrame.unionByName, runs).select("param_idx", "id", "cluster_id")
+
+
+def kept_attempts(vectors: DataFrame, config: dict, models: Models, store: str | None = None) -> DataFrame:
+    """Stage 1b with a store: attempts that it has are not built again, also those of a sweep that was interrupted."""
+    if store is None:
+        return attempts(vectors, config, models)
+    given = settings(vectors, config, models)
+    wanted = given if config["clustering_algorithm"] == "kmeans" else list(range(len(given)))
+    key = config_key(config, "clustering_algorithm")
+    found = resumable_attempts(vectors.sparkSession, store, key, wanted, lambda some: attempts(vectors, config, models, some),
+                               ATTEMPTS_AT_ONCE.get(config["clustering_algorithm"], len(wanted)))
+    return found.select("param_idx", "id", "cluster_id")
+
+
 def best_labels(vectors: DataFrame, tries: DataFrame, measure: str) -> DataFrame:
     """Stage 1c: the best attempt by the measure -> ``(id, cluster_id)``."""
     scores = Q.score_attempts(vectors, tries)
@@ -122,7 +144,7 @@ def run_configuration(utts: DataFrame, config: dict, models: Models | None = Non
     validate(config)
     spark = utts.sparkSession
     vectors = embeddings(utts, config, models, store)
-    tries = _stored(spark, store, config_key(config, "clustering_algorithm") + "/attempts", lambda: attempts(vectors, config, models))
+    tries = kept_attempts(vectors, config, models, store)
     labels = _stored(spark, store, config_key(config, "clustering_measure") + "/labels",
                      lambda: best_labels(vectors, tries, config["clustering_measure"]))
     cands = candidates(utts, config, models, store)

@@ -274,7 +274,7 @@ def q_centroid_similarity(spark, sf):
 
 def q_order_by_centroid(spark, sf):
     s = _centroid_sims(spark, sf).withColumn("cos_sim", F.round("cos_sim", 12))
-    return L.order_by_centroid(s).select(F.col("id").alias("vec_id"), "cluster_id",
+    return L.order_by_centroid(s.select("id", "cluster_id", "cos_sim")).select(F.col("id").alias("vec_id"), "cluster_id",
                                          F.col("rank").cast("long").alias("rank"))
 
 
@@ -314,12 +314,20 @@ def q_kmeans_lloyd(spark, sf):
 
 
 def q_kmeans_fit(spark, sf):
-    v = vectors(spark, sf)
-    k = v.select("cluster_id").distinct().count()
-    labels, centers = K.fit_kmeans_model(v, k)
-    # whichever centres the fit found, each row must belong to the nearest of them
-    nearest = K.assign(v, centers).withColumnRenamed("cluster_id", "nearest")
-    return labels.join(nearest, "id").select(F.col("id").alias("vec_id"), (F.col("cluster_id") == F.col("nearest")).alias("is_nearest"))
+    """Whichever centres the fit found: all k are used, each row is nearest to its own, each is the mean of its rows, and none costs more than the seeds."""
+    v = vectors(spark, sf).select("id", "embedding")
+    k = table(spark, sf, "embeddings").select("label").distinct().count()
+    rows = K.fit_rows(v, "id", "embedding")
+    (centers,), seeds, costs = K.fit_centers(rows, [k], 100, tolerance=1e-12)
+    labels = K.assign(v, centers)
+    means = Q.centroids(v, labels)
+    known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cluster_id int, found array<double>")
+    off = F.aggregate(F.zip_with("center", "found", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: F.greatest(a, b))
+    fit = known.join(means, "cluster_id").agg(F.count("*").alias("n_clusters"), (F.max(off) < 1e-6).alias("centers_are_means"))
+    facts = fit.first()  # three facts about the whole fit
+    return (K.nearest_labels(rows, [centers], [0]).select("id", F.col("cluster_id").alias("own")).join(labels, "id")
+            .select(F.col("id").alias("vec_id"), (F.col("own") == F.col("cluster_id")).alias("is_nearest"), F.lit(facts["n_clusters"]).alias("n_clusters"),
+                    F.lit(facts["centers_are_means"]).alias("centers_are_means"), F.lit(costs[0] <= seeds[0]).alias("cost_within_seeds")))
 
 
 # ---------------------------------------------------------------- density
@@ -493,10 +501,8 @@ def q_multi_ref_score(spark, sf):
                     F.col("text").alias("src"))
     lp = E.copy_scorer_logprobs(refs, ["doc_id", "ref_no"])
     scores = E.mean_token_logprob(lp, ["doc_id", "ref_no"])
-    mean = E.multi_ref_score(scores, "doc_id", "ref_no", "mean").withColumnRenamed("score", "score_mean")
-    mx = E.multi_ref_score(scores, "doc_id", "ref_no", "max").withColumnRenamed("score", "score_max")
-    return mean.join(mx, "doc_id").select("doc_id", _round(F.col("score_mean")).alias("score_mean"),
-                                          _round(F.col("score_max")).alias("score_max"))
+    both = E.multi_ref_score(scores, "doc_id", "ref_no", ["mean", "max"])
+    return both.select("doc_id", _round(F.col("score_mean")).alias("score_mean"), _round(F.col("score_max")).alias("score_max"))
 
 
 def q_intent_pipeline(spark, sf):

@@ -54,6 +54,30 @@ def missing_attempts(wanted: DataFrame, stored: DataFrame,
     return wanted.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def resumable_attempts(spark: SparkSession, root: str, key: str, wanted: list[int], build: Callable[[list[int]], DataFrame],
+                       at_once: int = 25) -> DataFrame:
+    """The wanted attempts of a sweep, stored by ``param_idx``; only those that are not complete are built.
+
+    ``build`` makes the ``(param_idx, ..)`` rows of the attempts it is given,
+    at most ``at_once`` together.  An attempt counts once its row is in the
+    completion table, which is written after its rows; what an interrupted
+    run left of an attempt is written over.
+    """
+    path, done_path = os.path.join(root, key, "attempts"), os.path.join(root, key, "complete")
+
+    def pending() -> list[int]:
+        every = spark.createDataFrame([(p,) for p in wanted], "param_idx int")
+        left = missing_attempts(every, spark.read.schema("param_idx int").parquet(done_path), ("param_idx",)) if _exists(spark, done_path) else every
+        return sorted(r["param_idx"] for r in left.collect())  # a sweep's parameters
+
+    todo = pending()
+    for at in range(0, len(todo), at_once):
+        some = todo[at:at + at_once]
+        (build(some).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("param_idx").parquet(path))
+        spark.createDataFrame([(p,) for p in some], "param_idx int").coalesce(1).write.mode("append").parquet(done_path)
+    return spark.read.parquet(path).where(F.col("param_idx").isin([int(p) for p in wanted]))
+
+
 def write_metric(df: DataFrame, path: str, key_col: str = "intent", value_col: str = "score",
                  avg_key: str = "avg") -> None:
     """A metric object ``{intent: score, ..., "avg": mean}`` as one JSON line per config.

@@ -372,3 +372,47 @@ def test_forest_of_a_block_pair_has_fewer_edges_than_rows():
         off = u != v
         keep = spanning.forest_of(d[off], u[off], v[off])
         assert sorted(d[off][keep]) == sorted(got["w"])
+
+
+def test_kmeans_sweep_shares_its_scans(spark, monkeypatch):
+    from sextant.operators import kmeans as K
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((4, 3)).repeat(40, axis=0) * 8 + rng.standard_normal((160, 3)) * 0.1, np.zeros((3, 3))])
+    scans, scan = [], K.lloyd_scan
+    monkeypatch.setattr(K, "lloyd_scan", lambda rows, sets: (scans.append(len(sets)), scan(rows, sets))[1])
+    df = vec_df(spark, x)
+    for ks in ([4], [2, 3, 4, 5, 6, 200]):
+        scans.clear()
+        labels = K.kmeans_sweep(df, ks, steps=2).collect()
+        assert len(scans) <= 3 and {r["param_idx"] for r in labels} == set(ks) and len(labels) == len(ks) * len(x)
+    own = {r["id"]: r["cluster_id"] for r in labels if r["param_idx"] == 4}
+    assert len({own[k] for k in range(160)}) == 4 and all(len({own[40 * g + k] for k in range(40)}) == 1 for g in range(4))
+    rows = K.fit_rows(df, "id", "embedding")
+    (centers,), seeds, costs = K.fit_centers(rows, [5], 50, tolerance=1e-12)
+    label = ((x[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)
+    assert costs[0] <= seeds[0] and all(np.allclose(centers[c], x[label == c].mean(axis=0)) for c in range(5))
+
+
+def test_rank_in_groups_of_one_hot_group(spark):
+    from sextant.operators.ordering import rank_in_groups
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    rows = [(0 if k % 3 else k % 7, float(rng.integers(0, 50)), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "cluster_id int, sim double, id long").repartition(6)
+    got = {r["id"]: r["rank"] for r in rank_in_groups(df, ["cluster_id"], [F.desc("sim"), F.asc("id")]).collect()}
+    want = {}
+    for c in {r[0] for r in rows}:
+        for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == c), key=lambda r: (-r[1], r[2]))):
+            want[i] = n + 1
+    assert got == want
+
+
+def test_misaligned_attempt_fails_by_name(spark):
+    x = np.eye(4)
+    lab = spark.createDataFrame([(0, k, k % 2) for k in range(4)] + [(1, k, k % 2) for k in range(3)], "param_idx int, id long, cluster_id int")
+    with pytest.raises(Exception, match="MISALIGNED_ATTEMPT: row 3 has no label in attempt 1"):
+        Q.silhouette_samples(vec_df(spark, x), lab).collect()
+    with pytest.raises(Exception, match="MISALIGNED_ATTEMPT: no vector for the labelled row 9"):
+        Q.davies_bouldin(vec_df(spark, x), spark.createDataFrame([(0, k, k % 2) for k in (0, 1, 2, 3, 9)], "param_idx int, id long, cluster_id int")).collect()

@@ -59,3 +59,27 @@ def test_drawn_settings_have_the_names_that_the_operator_takes(spark):
     settings = P.iter_dbscan_settings(spark, P.Models())
     assert len(settings) == 100 and set(settings[0]) == {
         "initial_distance", "initial_minimum_samples", "delta_distance", "delta_minimum_samples", "max_iteration"}
+
+
+def test_an_interrupted_sweep_builds_only_what_is_missing(spark, tmp_path):
+    from sextant.sources.store import resumable_attempts
+
+    store, built = str(tmp_path / "store"), []
+
+    def build(some, stop_at=None):
+        if stop_at in some:
+            raise InterruptedError
+        built.append(list(some))
+        return spark.createDataFrame([(p, k, p * 10 + k) for p in some for k in range(3)], "param_idx int, id long, cluster_id int")
+
+    with pytest.raises(InterruptedError):
+        resumable_attempts(spark, store, "key", [2, 3, 4, 5, 6], lambda some: build(some, stop_at=6), at_once=2)
+    assert built == [[2, 3], [4, 5]]
+    # rows without an entry in the completion table, as a writer leaves them that stops between the two
+    spark.createDataFrame([(6, 0, 99)], "param_idx int, id long, cluster_id int").write.mode("append").partitionBy("param_idx").parquet(f"{store}/key/attempts")
+    built.clear()
+    found = resumable_attempts(spark, store, "key", [2, 3, 4, 5, 6, 7], build, at_once=2)
+    assert built == [[6, 7]]
+    assert sorted((r["param_idx"], r["id"], r["cluster_id"]) for r in found.collect()) == [(p, k, p * 10 + k) for p in range(2, 8) for k in range(3)]
+    resumable_attempts(spark, store, "key", [3, 7], build)
+    assert built == [[6, 7]]
