@@ -87,26 +87,37 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
 
 
 def near_hits(docs: DataFrame, phrases: DataFrame, slop: int, n: int) -> DataFrame:
-    """``(k1, k2, phrase)`` of keyed documents that have a phrase's two rarest terms at most ``slop`` words off their distance."""
-    lookup = stored(rarest_terms(phrases, docs), "phrases")
-    terms = lookup.select(F.col("t1").alias("term")).union(lookup.select("t2")).distinct()
-    index = stored(postings(docs, bounded_broadcast(terms, BROADCAST_TERMS), 0).drop("around"), "postings")
-    first = index.withColumnRenamed("term", "t1").join(lookup, "t1").withColumn("p2", F.col("pos") - F.col("o1") + F.col("o2"))
-    shifts = F.sequence(F.lit(-slop), F.lit(slop))
-    first = first.withColumn("p2", F.explode(F.transform(shifts, lambda d: F.col("p2") + d)))
-    other = index.select(F.col("term").alias("t2"), "k1", "k2", F.col("pos").alias("p2")).distinct()
-    return first.join(other, ["t2", "k1", "k2", "p2"], "left_semi").select("k1", "k2", "phrase").distinct()
+    """``(k1, k2, phrase)`` of keyed documents that hold a phrase loosely: around a place of its rarest term, every
+    term of the phrase stands at most ``slop`` words off its place.
+
+    Postings are stored for the phrases' rarest terms, each with the words around it, and all terms' lists are
+    intersected there.  Exact occurrences are among the matches.
+    """
+    lookup = rarest_terms(phrases, docs).withColumn("terms", F.split("phrase", " "))
+    lookup = stored(lookup.select("phrase", "size", "t1", "o1", "terms"), "phrases")
+    reach = n - 1 + slop
+    index = postings(docs, bounded_broadcast(lookup.select(F.col("t1").alias("term")).distinct(), BROADCAST_TERMS), reach)
+    found = index.withColumnRenamed("term", "t1").join(bounded_broadcast(lookup, BROADCAST_TERMS), "t1")
+    start = F.least(F.col("pos"), F.lit(reach)) - F.col("o1")  # the phrase's first place among the words around
+
+    def stands(o: Column) -> Column:
+        low = F.greatest(start + o - slop, F.lit(0))
+        near = F.slice("around", low + 1, F.greatest(start + o + slop - low + 1, F.lit(0)))
+        return F.array_contains(near, F.col("terms")[o])
+    return found.where(F.forall(F.sequence(F.lit(0), F.col("size") - 1), stands)).select("k1", "k2", "phrase").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``(keep or id .., n_words, n_hit, n_items, items_sha256, contaminated)`` per row.
+                  item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None, slop: int | None = None) -> DataFrame:
+    """``(keep or id .., n_words, n_hit, n_items, items_sha256, contaminated[, n_near_items])`` per row.
 
     A word is hit if it lies in any occurrence of a window of any item.  A
     null or empty text has no words and no hits; items without words have no
     windows; equal items each count.  Null ids and repeated rows get a result
     row each; empty documents or items give no rows or no hits; other columns
-    are kept only if named.  Items are the digest of the ids, as sorted
+    are kept only if named; texts of any length count whole.  With a ``slop``,
+    ``n_near_items`` counts the items with a window that the row holds
+    loosely (:func:`near_hits`), exact occurrences included.  Items are the digest of the ids, as sorted
     strings, joined by commas; of the empty string where there are none.
     """
     rows = keyed(docs, id_col, text_col)
@@ -124,9 +135,14 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     whole = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)], F.xxhash64(F.col(id_col)).alias("k1"),
                         F.xxhash64(F.col(text_col), F.col(id_col)).alias("k2"), F.size(words_of(F.col(text_col))).cast("long").alias("n_words"))
     out = whole.join(n_hit.join(found, ["k1", "k2"]), ["k1", "k2"], "left")
+    near = []
+    if slop is not None:
+        loose = near_hits(rows, windows.select("phrase").distinct(), slop, n).join(bounded_broadcast(windows, BROADCAST_TERMS), "phrase")
+        out = out.join(loose.groupBy("k1", "k2").agg(F.countDistinct("item").alias("n_near_items")), ["k1", "k2"], "left")
+        near = [F.coalesce("n_near_items", F.lit(0)).alias("n_near_items")]
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(kept)], "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
-                      F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
+                      F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), *near)
 
 
 ORACLE_OP9 = r"""

@@ -22,6 +22,8 @@ from sextant.llm.common import stored, unit_hash
 
 #: Rows and queries of one block.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Rows of the sample that a part needs.
+PART_SAMPLE = 64
 
 
 @dataclass(frozen=True)
@@ -161,17 +163,28 @@ def top_pairs(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def learned_partition_search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 4096, max_parts: int = 16,
+def part_count(total: int, sample: int) -> int:
+    """A power of two about the square root of the rows, with at least ``PART_SAMPLE`` rows of the sample to a part."""
+    parts = 1
+    while 4 * parts * parts <= total and sample // (2 * parts) >= PART_SAMPLE:
+        parts *= 2
+    return parts
+
+
+def learned_partition_search(vectors: DataFrame, every: int = 20, k: int = 20, sample_rows: int = 16_384,
                              recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` largest inner products found for each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates all
-    other ids.  The router is fitted on at most about ``sample_rows`` rows
-    (by a hash of the id); every row is indexed.  Null or zero vectors, those
+    other ids.  Parts grow as the square root of the rows, as far as the
+    sample, at most about ``sample_rows`` rows by a hash of the id, can
+    tell them apart; every row is indexed.  A query whose parts hold fewer
+    than ``k`` candidates searches all parts.  Null or zero vectors, those
     with null or non-finite components or of another length than most of the
     sample, and rows with a null id take no part.  Equal scores come by
-    smaller id; a repeated row counts once; with fewer than ``k`` candidates
-    all found are returned; an empty table gives an empty result.
+    smaller id; a repeated row counts once, and of different vectors with one
+    id the least (by its components in order) counts; with fewer than ``k`` candidates
+    all are returned; an empty table gives an empty result.  Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
@@ -185,11 +198,11 @@ def learned_partition_search(vectors: DataFrame, every: int = 20, k: int = 20, s
     sizes = [len(v) for v in sample]
     dimension = max(set(sizes), key=sizes.count)
     x = np.array([v for v in sample if len(v) == dimension])
-    parts = 1
-    while 2 * parts <= max_parts and len(x) // (2 * parts) >= 64:
-        parts *= 2
-    router = fit(x, parts, k, recall)
+    router = fit(x, part_count(total, len(x)), k, recall)
     shared = spark.sparkContext.broadcast(router)  # dimension x 128 weights
+    rows = rows.where(F.size("v") == dimension)
+    if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = shared.value
@@ -198,11 +211,30 @@ def learned_partition_search(vectors: DataFrame, every: int = 20, k: int = 20, s
                 order = np.argsort(-r.logits(np.stack(f["v"].to_numpy())), axis=1)[:, :r.probes].astype(np.int32)
                 yield f.assign(parts=list(order))
 
-    routed = stored(rows.where(F.size("v") == dimension).mapInPandas(route, "vec_id long, v array<double>, parts array<int>"), "routed")
+    routed = stored(rows.mapInPandas(route, "vec_id long, v array<double>, parts array<int>"), "routed")
     index = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    queries = routed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part"))
+    asked = routed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "parts")
     n_rows = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # one row per part
-    n_queries = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def searched(queries: DataFrame) -> DataFrame:
+        found = _search(index, queries.select("query_id", "q", F.explode("parts").alias("part")), n_rows, k)
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    enough = min(k, sum(n_rows.values()) - 1)
+    found = stored(searched(asked), "found")
+    full = found.where(F.col("rank") == max(1, enough)).select("query_id")
+    short = asked.join(full, "query_id", "left_anti")
+    if enough < 1 or router.probes >= router.parts or short.isEmpty():
+        return found
+    everywhere = short.withColumn("parts", F.array(*[F.lit(p) for p in sorted(n_rows)]))
+    return found.join(full, "query_id", "left_semi").unionByName(searched(everywhere))
+
+
+def _search(index: DataFrame, queries: DataFrame, n_rows: dict[int, int], k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: the best of each block of a part for the queries ``(query_id, q, part)``."""
+    spark = index.sparkSession
+    n_queries = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # one row per part
     blocks = spark.createDataFrame([(p, -(-n_rows[p] // BLOCK_ROWS), -(-n_queries.get(p, 0) // BLOCK_QUERIES)) for p in n_rows],
                                    "part int, nc int, nq int")
 
@@ -217,13 +249,9 @@ def learned_partition_search(vectors: DataFrame, every: int = 20, k: int = 20, s
     right = queries.join(small, "part").select("part", spread("nc", "c"), block("query_id", "nq"), "query_id", "q")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.drop_duplicates("vec_id"), b.drop_duplicates("query_id")
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return top_pairs(np.stack(b["q"].to_numpy()), b["query_id"].to_numpy(), np.stack(a["v"].to_numpy()), a["vec_id"].to_numpy(), k)
 
     keys = ["part", "c", "r"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")

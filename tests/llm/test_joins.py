@@ -147,6 +147,37 @@ def test_proximity(spark, docs_of):
     assert collected(hits.join(docs, ["k1", "k2"]), "id") == [(1,), (2,), (4,)]
 
 
+@pytest.mark.parametrize("slop", [0, 2])
+def test_proximity_over_all_terms(spark, docs_of, slop):
+    rng = random.Random(slop)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 10, 14])))) for k in range(12)] + [(50, None)]
+    rows = []
+    for k in range(80):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 25))]
+        loose = (rng.choice(items)[1] or "").split()
+        for _ in range(rng.choice([0, 0, 1, 2])):  # words put between, left out or changed
+            at = rng.randrange(len(loose) + 1)
+            loose[at:at + rng.choice([0, 0, 1])] = [rng.choice(vocabulary)] * rng.choice([0, 1])
+        rows.append((k, " ".join(text + loose + text[:4])))
+    rows += [(90, None), (None, items[3][1])]
+    split = [words(t) for _, t in rows]
+    counts = Counter(w for ws in split for w in ws)
+    windows = {(i, tuple(ws[a:a + 10])) for i, t in items if (ws := words(t)) for a in range(max(1, len(ws) - 9))}
+    want = []
+    for (doc, _), ws in zip(rows, split):
+        near = set()
+        for item, win in windows:
+            o1 = min(range(len(win)), key=lambda o: (counts[win[o]], o))
+            near |= {item for p in range(len(ws)) if ws[p] == win[o1] and all(
+                term in ws[max(0, p - o1 + o - slop):max(0, p - o1 + o + slop + 1)] for o, term in enumerate(win))}
+        want.append((doc, len(near)))
+    found = contamination(docs_of(rows), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+    assert collected(found, "doc_id", "n_near_items") == sorted(want, key=lambda r: tuple((x is not None, x) for x in r))
+    if not slop:
+        assert found.where("n_near_items <> n_items").isEmpty()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from .test_text_models import GOOD, labelled
@@ -222,3 +253,25 @@ def test_pipeline_stages_pass_columns_of_any_name(spark, tmp_path, empty):
         assert all(tuple(r)[3:] == tuple(CLASHING) for r in found)
     if empty:
         assert corpus_pipeline.STAGES[-1][1](spark, table, d).count() == 0
+
+
+def test_neighbours_of_clashing_ids_and_queries_with_few_candidates_in_their_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = unit(np.repeat(rng.standard_normal((40, 8)), 5, axis=0) + 0.02 * rng.standard_normal((200, 8)))
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(x)] + [(7, (-x[7]).tolist(), "y", 2), (20, (-x[20]).tolist(), "y", 2)]
+    monkeypatch.setattr(neighbours, "PART_SAMPLE", 8)
+    monkeypatch.setattr(neighbours, "fit", lambda x, parts, k, recall, whole=neighbours.fit: neighbours.Router(
+        *(lambda r: (r.w1, r.b1, r.w2, r.b2))(whole(x, parts, k, recall)), 1))  # one part is tried, which holds too few
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int").repartition(3)
+    found = neighbours.learned_partition_search(table, every=20, k=150).collect()
+    for i in (7, 20):
+        x[i] = min(x[i].tolist(), (-x[i]).tolist())  # of two vectors with one id the lesser counts
+    for q in range(0, 200, 20):
+        exact = (x * x[q]).sum(axis=1)
+        exact[q] = -9
+        got = [r["vec_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert got == np.lexsort((np.arange(200), -exact))[:150].tolist()
+
+
+def test_parts_grow_with_the_table():
+    assert [neighbours.part_count(n, min(n, 16_384)) for n in (1, 500, 10_000, 1_000_000, 10 ** 9)] == [1, 4, 64, 256, 256]
