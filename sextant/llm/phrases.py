@@ -8,8 +8,9 @@ window, cuts the passages of such windows out of its texts, in pieces of
 bounded length; every chunk that has one of a passage's windows gets the
 passage.
 
-A chunk's passages are a shard: their phrases are compiled into an
-Aho-Corasick automaton, through which the chunk's documents are streamed.
+A chunk's passages are a shard: phrases at places that no window of theirs
+can avoid are compiled into an Aho-Corasick automaton, through which the
+chunk's documents are streamed.
 Where a phrase is found, the document's words and the passage's are compared
 to both sides, and a stretch of a window or more in common is removed.
 """
@@ -35,6 +36,8 @@ from sextant.session import bounded_broadcast
 PHRASE = 8
 #: Windows of one piece of a passage.
 PIECE_WINDOWS = 128
+#: Words of the passages of one automaton.
+SHARD_WORDS = 500_000
 #: Bytes of text of one chunk, about.
 CHUNK_BYTES = 2 << 20
 #: Bytes of text that are hashed together.
@@ -60,9 +63,10 @@ def _phrases_of(n_words: np.ndarray) -> np.ndarray:
 
 
 def _window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window, of 64 bits each."""
+    """Two independent hashes of every window, of 64 and 32 bits."""
     joined = b" ".join(words)
-    return run_hashes(word_hashes(joined), window).view(np.int64), run_hashes(word_hashes(joined, 1), window, 1).view(np.int64)
+    second = run_hashes(word_hashes(joined, 1), window, 1) >> np.uint64(32)
+    return run_hashes(word_hashes(joined), window).view(np.int64), second.astype(np.uint32).view(np.int32)
 
 
 def _count(keys: list[np.ndarray]) -> list[np.ndarray]:
@@ -89,16 +93,14 @@ def _phrase_counts(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("chunk", "text").mapInArrow(scan, "chunk int, phrase long, n long")
 
 
-def _recurring_phrases(counts: DataFrame) -> DataFrame:
-    """``(chunk, phrase)`` of phrases that occur at least twice in all; a hot phrase is counted before it is joined."""
-    twice = counts.groupBy("phrase").agg(F.sum("n").alias("total")).where("total > 1").select("phrase")
-    return counts.select("chunk", "phrase").join(twice, "phrase").distinct()
+def _recurring(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``counts`` whose keys occur at least twice in all, with the least chunk that has them as ``first``.
 
-
-def _confirmed(counts: DataFrame) -> DataFrame:
-    """``(chunk, h, g, first)`` of windows that occur at least twice in all, with the least chunk that has them."""
-    shared = counts.groupBy("h", "g").agg(F.sum("n").alias("total"), F.min("chunk").alias("first")).where("total > 1").drop("total")
-    return counts.join(shared, ["h", "g"]).select("chunk", "h", "g", "first").distinct()
+    Counts are shuffled once, for the sums and for the join with them.
+    """
+    dealt = counts.repartition(*keys)
+    shared = dealt.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("chunk").alias("first")).where("total > 1").drop("total")
+    return dealt.join(shared.hint("shuffle_hash"), keys).select("chunk", *keys, "first")
 
 
 def _place(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
@@ -139,46 +141,79 @@ def _stretches(at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 class PassageAutomaton:
-    """The phrases of confirmed passages, each with the passages and places where it stands."""
+    """Phrases of confirmed passages at every place that a window of a passage cannot avoid.
+
+    A word of the passages is a character of its own, so that a phrase is a
+    string of ``PHRASE`` characters and texts are compared word by word.
+    """
 
     def __init__(self, passages: list[list[bytes]], window: int):
-        self.passages, self.window = passages, window
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        self.window, self.automaton = window, ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        self.letters: dict[bytes, str] = {}
+        self.passages = ["".join(self._letter(w) for w in p) for p in passages]
         where: dict[str, list[tuple[int, int]]] = {}
-        of, at, _ = _phrase_anchors(passages, window)
-        for p, k in zip(of.tolist(), at.tolist()):
-            where.setdefault((b" " + b" ".join(passages[p][k:k + PHRASE]) + b" ").decode(), []).append((p, k))
+        for n, p in enumerate(self.passages):
+            for k in range(0, len(p) - PHRASE + 1, window - PHRASE + 1):
+                where.setdefault(p[k:k + PHRASE], []).append((n, k))
         for phrase, places in where.items():
             self.automaton.add_word(phrase, places)
         if where:
             self.automaton.make_automaton()
 
+    def _letter(self, word: bytes) -> str:
+        known = self.letters.get(word)
+        if known is None:
+            code = len(self.letters) + 2
+            known = self.letters[word] = chr(code if code < 0xD800 else code + 0x800)  # no surrogates
+        return known
+
     def found(self, words: list[bytes]) -> np.ndarray:
         """Which words lie in a stretch of a window or more that a passage has too."""
         gone = np.zeros(len(words), dtype=bool)
         if not len(self.automaton) or len(words) < self.window:
             return gone
-        line = " " + b" ".join(words).decode() + " "
-        spaces = np.cumsum([0, *(1 + len(w) for w in line[1:-1].split(" "))])  # places of the spaces in the line
+        text = "".join([self.letters.get(w, "\x01") for w in words])
         done: dict[tuple[int, int], int] = {}  # how far a passage, laid against the text at a shift, was compared
-        for end, places in self.automaton.iter(line):
-            at = int(np.searchsorted(spaces, end)) - PHRASE  # a match ends in the space behind its last word
-            for p, k in places:
-                if done.get((p, at - k), -1) > at:
+        for end, places in self.automaton.iter(text):
+            at = end - PHRASE + 1
+            for n, k in places:
+                if done.get((n, at - k), -1) > at:
                     continue
-                passage = self.passages[p]
-                back = 0
-                while back < k and back < at and words[at - back - 1] == passage[k - back - 1]:
-                    back += 1
-                to, stop = at + PHRASE, min(len(words), at + len(passage) - k)
-                while to < stop and words[to] == passage[to - at + k]:
-                    to += 1
-                done[p, at - k] = to
+                passage = self.passages[n]
+                back = _common(text[max(0, at - k):at][::-1], passage[max(0, k - at):k][::-1])
+                to = at + PHRASE + _common(text[at + PHRASE:at + len(passage) - k], passage[k + PHRASE:])
+                done[n, at - k] = to
                 if to - at + back >= self.window:
                     gone[at - back:to] = True
         return gone
 
 
+def _common(a: str, b: str) -> int:
+    """How many characters two strings begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high - 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def _automata(passages: list[list[bytes]], window: int) -> list[PassageAutomaton]:
+    """The shards of the passages: each of at most ``SHARD_WORDS`` words, so that every word has its character."""
+    parts, size = [[]], 0
+    for p in passages:
+        if parts[-1] and size + len(p) > SHARD_WORDS:
+            parts.append([])
+            size = 0
+        parts[-1].append(p)
+        size += len(p)
+    return [PassageAutomaton(part, window) for part in parts]
+
+
 def _digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -241,7 +276,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     arrow = [to_arrow_type(docs.schema[c].dataType) for c in kept]
     chunk, chunks = chunk_column(docs, id_col, text_col, chunk_bytes)
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names)], chunk.alias("chunk"), F.col(text_col).alias("text"))
-    recurring = _recurring_phrases(_phrase_counts(rows, window))
+    recurring = _recurring(_phrase_counts(rows, window), ["phrase"]).select("chunk", "phrase")
     rows, recurring = spread(rows, recurring, chunks, chunk_bytes)
 
     def locate(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -280,8 +315,8 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(h), pa.array(g), pa.array(n, pa.int32())],
                                                  ["chunk", "h", "g", "n"])
 
-    counts = touched.select("chunk", "runs", "text").mapInArrow(hashes, "chunk int, h long, g long, n int")
-    confirmed = stored(_confirmed(stored(counts, "windows")), "confirmed")
+    counts = touched.select("chunk", "runs", "text").mapInArrow(hashes, "chunk int, h long, g int, n int")
+    confirmed = stored(_recurring(counts, ["h", "g"]), "confirmed")
 
     def cut_out(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -316,11 +351,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "do
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return removed.empty_table()
-        automaton = PassageAutomaton([p.split() for p in as_bytes(right.column("words").combine_chunks())], window)
+        automata = _automata([p.split() for p in as_bytes(right.column("words").combine_chunks())], window)
         n_removed, digests, texts = [], [], []
         for text in as_bytes(left.column("text").combine_chunks()):
             words = text.split()
-            gone = automaton.found(words)
+            gone = np.logical_or.reduce([a.found(words) for a in automata])
             n_removed.append(int(gone.sum()))
             digests.append(_digest([w for w, x in zip(words, gone.tolist()) if not x]))
             texts.append((_cut(text, words, gone) if gone.any() else text) if with_text else None)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -262,10 +263,11 @@ def test_the_automaton_decides_what_goes(docs_of, monkeypatch):
     alike = [(20, unlike[0][1] + " tail"), (21, "head " + unlike[0][1])]
     found = phrases.remove_repeated_windows(docs_of(unlike + alike), window=35)
     assert {r["doc_id"] for r in found.collect() if r["n_removed"]} == {0, 20, 21}
-    monkeypatch.setattr(phrases, "_window_hashes", lambda words, window: (np.zeros(max(len(words) - window + 1, 0), np.int64),) * 2)
+    monkeypatch.setattr(phrases, "_window_hashes", lambda words, window: (
+        np.zeros(max(len(words) - window + 1, 0), np.int64), np.zeros(max(len(words) - window + 1, 0), np.int32)))
     assert len(collected(phrases.remove_repeated_windows(docs_of(unlike[1:]), window=35).where("n_removed > 0"), "doc_id")) <= 1  # its own passage
     monkeypatch.undo()
-    monkeypatch.setattr(phrases.PassageAutomaton, "found", lambda self, words: np.zeros(len(words), dtype=bool))
+    monkeypatch.setattr(phrases, "_automata", lambda passages, window: [SimpleNamespace(found=lambda words: np.zeros(len(words), dtype=bool))])
     assert collected(phrases.remove_repeated_windows(docs_of(unlike + alike), window=35).where("n_removed > 0"), "doc_id") == []
 
 
