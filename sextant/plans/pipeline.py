@@ -25,7 +25,8 @@ from sextant.operators import quality as Q
 from sextant.operators.embedding import hashed_embedding
 from sextant.operators.inference import embed, first_candidate_responder
 from sextant.plans.config import canonical, draw_hyperparameters, validate
-from sextant.sources.store import config_key, materialize, resumable_attempts
+from sextant.session import cut_lineage
+from sextant.sources.store import config_key, materialize, read_metric_avg, resumable_attempts, write_metric
 
 # Default sweep settings (fixed values of the original configuration).
 KMEANS_K_RANGE = (2, 200)
@@ -169,8 +170,9 @@ def run_sweep(spark: SparkSession, utts: DataFrame, grid: DataFrame, models: Mod
 
     The option grid is a handful of rows, so the driver iterates over it;
     every configuration itself is a set of Spark jobs over all utterances.
-    With a ``store``, stages that configurations share are built once, and a
-    configuration whose metric is stored is not run again.
+    With a ``store``, stages that configurations share are built once, a
+    configuration whose metric is stored is not run again, and each has its
+    metric objects by intent beside it (S7), which :func:`stored_metrics` reads.
     """
     models, results = models or Models(), []
     for row in grid.orderBy("combo_idx").collect():  # the option grid, not data
@@ -179,6 +181,11 @@ def run_sweep(spark: SparkSession, utts: DataFrame, grid: DataFrame, models: Mod
         def metric(config=config):
             rows = run_configuration(utts, config, models, store)
             _, per, scores = evaluate_configuration(rows, config.get("dataset") or dataset, models=models)
+            if store is not None:
+                per, scores = cut_lineage(per), cut_lineage(scores)  # written and averaged
+                for found, column in ((per, "cosine_sim"), (scores, "bart_score")):
+                    named = found.select(F.lit(config_key(config)).alias("config"), "intent", F.col(column).alias("score"))
+                    write_metric(named, f"{store}/{config_key(config)}/{column}")
             return E.macro_average(per, "cosine_sim").crossJoin(  # one row each
                 E.macro_average(scores, "bart_score").withColumnRenamed("avg", "avg_score"))
 
@@ -190,6 +197,17 @@ def run_sweep(spark: SparkSession, utts: DataFrame, grid: DataFrame, models: Mod
     return out.select("combo_idx", "avg", "avg_score")
 
 
+def best_of_sweep(results: DataFrame) -> DataFrame:
+    """``(metric, combo_idx, score)``: the best configuration of a sweep by either metric; ties -> the first combination."""
+    best = [E.best_config(results, "combo_idx", m).select(F.lit(m).alias("metric"), "combo_idx", F.col(m).alias("score")) for m in ("avg", "avg_score")]
+    return best[0].unionByName(best[1])
+
+
+def stored_metrics(spark: SparkSession, store: str, configs: list[dict], column: str = "cosine_sim") -> DataFrame:
+    """``(config, metric, avg)`` from the stored metric objects of the configurations."""
+    return reduce(DataFrame.unionByName, [read_metric_avg(spark, f"{store}/{config_key(c)}/{column}") for c in configs])
+
+
 def precompute(utts: DataFrame, configs: list[dict], models: Models | None = None,
                store: str | None = None) -> dict[str, DataFrame]:
     """Entry 3: materialise the embedding and candidate stages for each configuration."""

@@ -39,6 +39,11 @@ def test_sweep_builds_each_stage_once(spark, tmp_path, monkeypatch):
     first = sorted(tuple(r) for r in P.run_sweep(spark, utts, grid, models, store).collect())
     assert [r[0] for r in first] == [0, 1] and all(r[1] is not None and r[2] is not None for r in first)
     assert built["attempts"] == 1  # shared by both configurations
+    best = {r["metric"]: (r["combo_idx"], r["score"]) for r in P.best_of_sweep(P.run_sweep(spark, utts, grid, models, store)).collect()}
+    assert best == {m: (min(r[0] for r in first if r[k] == max(x[k] for x in first)), max(x[k] for x in first)) for m, k in (("avg", 1), ("avg_score", 2))}
+    configs = [{k: v for k, v in r.asDict().items() if k != "combo_idx"} for r in grid.collect()]
+    told = P.stored_metrics(spark, store, configs).collect()
+    assert [r["avg"] for r in told] == pytest.approx([r[1] for r in first])
 
     def fail(*_, **__):
         raise AssertionError("built again")
