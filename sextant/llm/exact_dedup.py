@@ -20,6 +20,7 @@ whole group.  Nothing but counts reaches the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,7 +181,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     border = docs.agg(F.percentile_approx(id_col, history_share, 1000).alias("at")).first()["at"]
     later = F.col(id_col).isNull() if border is None else F.coalesce(F.col(id_col) > F.lit(border), F.lit(True))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("digest"),
+    bare = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, text)  # bytes are copied, no character is decoded
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(bare, 256)).alias("digest"),
                        F.length(text).alias("chars"), later.alias("later"), F.monotonically_increasing_id().alias("locator"))
     rows = stored(rows, "digests").withColumn("salt", F.pmod("locator", F.lit(salts)).cast("int"))
     best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), "id", "locator")

@@ -24,12 +24,12 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sextant.llm.common import as_bytes, by_bytes, byte_groups, give_back, result_schema, stored
-from sextant.llm.wordhash import anchors, run_hashes, word_hashes
+from sextant.llm.wordhash import anchors, run_hashes, sliding, word_hashes
 from sextant.session import bounded_broadcast
 
 #: Words of a phrase.
@@ -63,10 +63,10 @@ def _phrases_of(n_words: np.ndarray) -> np.ndarray:
 
 
 def _window_hashes(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window, of 64 and 32 bits."""
-    joined = b" ".join(words)
-    second = run_hashes(word_hashes(joined, 1), window, 1) >> np.uint64(32)
-    return run_hashes(word_hashes(joined), window).view(np.int64), second.astype(np.uint32).view(np.int32)
+    """Two hashes of every window, of 64 and 32 bits, from the same hashes of its words."""
+    hashes = word_hashes(b" ".join(words))
+    second = run_hashes(hashes, window, 1) >> np.uint64(32)
+    return run_hashes(hashes, window).view(np.int64), second.astype(np.uint32).view(np.int32)
 
 
 def _count(keys: list[np.ndarray]) -> list[np.ndarray]:
@@ -96,11 +96,12 @@ def _phrase_counts(docs: DataFrame, window: int) -> DataFrame:
 def _recurring(counts: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``counts`` whose keys occur at least twice in all, with the least chunk that has them as ``first``.
 
-    Counts are shuffled once, for the sums and for the join with them.
+    A chunk's counts are few rows for a key, and a key's rows are sorted and
+    spilled, not held; so one shuffle serves the sums and their join.
     """
-    dealt = counts.repartition(*keys)
-    shared = dealt.groupBy(*keys).agg(F.sum("n").alias("total"), F.min("chunk").alias("first")).where("total > 1").drop("total")
-    return dealt.join(shared.hint("shuffle_hash"), keys).select("chunk", *keys, "first")
+    same = Window.partitionBy(*keys)
+    told = counts.select("chunk", *keys, F.sum("n").over(same).alias("total"), F.min("chunk").over(same).alias("first"))
+    return told.where("total > 1").drop("total")
 
 
 def _place(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarray) -> np.ndarray:
@@ -116,21 +117,15 @@ def _place(h: np.ndarray, g: np.ndarray, known_h: np.ndarray, known_g: np.ndarra
 
 
 def _near_phrases(split: list[list[bytes]], recurring: np.ndarray, window: int) -> Iterator[np.ndarray]:
-    """Per text the starts of the windows that hold a recurring phrase which is the least of some window."""
-    of, at, hashes = _phrase_anchors(split, window)
-    known = np.isin(hashes, recurring)
-    of, at = of[known], at[known]
-    first = np.searchsorted(of, np.arange(len(split) + 1))
-    for t, words in enumerate(split):
-        here = at[first[t]:first[t + 1]]
-        if len(words) < window or not len(here):
-            yield np.empty(0, dtype=np.int64)
-            continue
-        inside = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(inside, np.maximum(here - (window - PHRASE), 0), 1)
-        np.add.at(inside, here + 1, -1)
-        starts = np.flatnonzero(np.cumsum(inside) > 0)
-        yield starts[starts <= len(words) - window]
+    """Per text the starts of the windows whose least phrase recurs: a window that recurs is among them."""
+    hashes = run_hashes(word_hashes(b" ".join(chain.from_iterable(split))), PHRASE)
+    span = window - PHRASE + 1
+    least = sliding(hashes, span, np.minimum) if len(hashes) >= span else hashes[:0]
+    known = np.isin(least.view(np.int64), recurring)
+    at = 0
+    for words in split:
+        yield np.flatnonzero(known[at:at + max(len(words) - window + 1, 0)])
+        at += len(words)
 
 
 def _stretches(at: np.ndarray) -> Iterator[tuple[int, int]]:
