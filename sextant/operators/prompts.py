@@ -138,6 +138,7 @@ def pack_prompts(utterances: DataFrame, candidates: DataFrame, cluster_col: str
     exceeds the budget; empty ones before it leave nothing behind, not even a
     comma, but are counted.  A null text counts as an empty one.
     """
+    candidates = cut_lineage(candidates.select(cluster_col, "candidates"))  # one row per cluster, read at both ends
     u = (utterances.select(F.col(cluster_col).alias("cluster_id"),
                            F.col(rank_col).cast("long").alias("rank"), F.coalesce(text_col, F.lit("")).alias("text"))
          .join(candidates.select(F.col(cluster_col).alias("cluster_id"), "candidates"),

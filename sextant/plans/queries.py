@@ -429,7 +429,8 @@ def q_alignment_check(spark, sf):
 
 def _role_candidates(spark, sf):
     turns = conv_turns(spark, sf).withColumnRenamed("role", "cluster_id")
-    return C.action_object_ext(rule_annotate(turns)).drop("tokens")
+    found = C.action_object_ext(rule_annotate(turns)).select("cluster_id", "id", "text", "candidate_intent")
+    return cut_lineage(found)  # annotated once; candidates and utterances read it
 
 
 def q_pack_prompts(spark, sf):
