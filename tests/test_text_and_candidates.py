@@ -177,3 +177,53 @@ def test_hashed_embedding_matches_brute_force(spark):
         assert len(vec) == dim
         for b in range(dim):
             assert abs(vec[b] - want[i].get(b, (0, 0.0))[1]) < 1e-12
+
+
+def _rules(text):
+    """The annotator's rules, word by word: (i, text, pos, dep, head)."""
+    import re
+
+    words = [(si, w.replace(",", "")) for si, s in enumerate(re.split(r"[.!?\n]", text)) for w in re.split(r"[ \t\n\x0b\f\r]+", s)]
+    words = [(s, w) for s, w in words if w]
+
+    def tag(w):
+        low = re.sub("[\x85\u2028\u2029]$", "", w.replace("İ", "i̇").lower())
+        for pos, suffixes in (("VERB", "ing ed er ir ar en"), ("NOUN", "tion ment s ung keit ción heit")):
+            if len(w) >= 5 and low.endswith(tuple(suffixes.split())):
+                return pos
+        return "X"
+    tags = [tag(w) for _, w in words]
+
+    def verbs(lo, hi, s):
+        return [j for j in range(max(lo, 0), min(hi, len(words) - 1) + 1) if tags[j] == "VERB" and words[j][0] == s]
+    obj = [next(iter(verbs(k - 5, k - 1, s)[::-1]), None) if tags[k] == "NOUN" else None for k, (s, _) in enumerate(words)]
+    out = []
+    for k, (s, w) in enumerate(words):
+        comp = [j for j in range(k + 1, min(k + 2, len(words) - 1) + 1) if obj[j] is not None and obj[j] < k]
+        neg = verbs(k + 1, k + 3, s) if w.lower() in ("no", "pas", "nicht") else []
+        dep, head = ("dobj", obj[k]) if obj[k] is not None else ("compound", comp[0]) if comp else ("neg", neg[0]) if neg else ("", k)
+        out.append((k, w, tags[k], dep, head))
+    return out
+
+
+def test_rule_annotate_by_arrays(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from sextant.operators import tokens as N
+
+    rnd = random.Random(5)
+    bits = ["a", "running", "Walked", "Nations", "station,s", "no", "NICHT", "Pas", "CANCIÓN", "sauberKEIT", "runnİng", "éééés", "日本語日ing", "orders\u2028", "Zeitung\x85",
+            ",", ".", "!", "?\n", "\t", "\r", "\x0b", "\x1cgoing", "😀😀ed"]
+    texts = ["".join(rnd.choice(bits) + rnd.choice([" ", " ", ""]) for _ in range(rnd.randint(0, 30))) for _ in range(300)] + ["", " ", ","]
+    arrays = pa.array([None, *texts, None])
+    monkeypatch.setattr(N, "SLICE_BYTES", 200)
+    got = pa.concat_arrays([N._tokens_of(p) for p in N._text_slices(arrays)]).to_pylist()
+    assert got[0] is None and got[-1] is None
+    assert [[tuple(t.values()) for t in ts] for ts in got[1:-1]] == [_rules(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate([None, *texts])), "id long, text string").repartition(3)
+    rows = {r["id"]: r["tokens"] for r in rule_annotate(df).collect()}
+    assert rows[0] is None and all([tuple(t) for t in rows[k]] == _rules(t) for k, t in enumerate(texts, 1))
+    heads = token_heads(rule_annotate(df))
+    assert heads._jdf.queryExecution().optimizedPlan().toString().count("run(text") == 1  # texts are annotated once
