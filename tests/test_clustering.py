@@ -416,3 +416,43 @@ def test_misaligned_attempt_fails_by_name(spark):
         Q.silhouette_samples(vec_df(spark, x), lab).collect()
     with pytest.raises(Exception, match="MISALIGNED_ATTEMPT: no vector for the labelled row 9"):
         Q.davies_bouldin(vec_df(spark, x), spark.createDataFrame([(0, k, k % 2) for k in (0, 1, 2, 3, 9)], "param_idx int, id long, cluster_id int")).collect()
+
+
+def test_silhouettes_of_equal_attempts_by_tiles(spark, monkeypatch):
+    """Attempts that equal the one before (with other ids too), many runs, small tiles: as from all distances."""
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(90, 5)).round(3)
+    tries = [rnd.integers(0, 6, 90) for _ in range(3)]
+    tries = [tries[0], tries[0] - 1, tries[1], tries[2], tries[2], tries[0]]
+    monkeypatch.setattr(Q, "SUMS_PER_TASK", 12 * 1024)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    lab = spark.createDataFrame([(a, i, int(c)) for a, t in enumerate(tries) for i, c in enumerate(t)], "param_idx int, id long, cluster_id int")
+    packed = Q.Packed(v, lab)
+    assert packed.repeats == [False, True, False, False, True, False]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {(r["param_idx"], r["id"]): (r["cluster_id"], r["silhouette"]) for r in Q.silhouette_samples(v, lab, block_rows=40).collect()}
+    assert len(got) == 6 * 90
+    for a, t in enumerate(tries):
+        for i in range(90):
+            means = {c: d[i, t == c].sum() / max((t == c).sum() - (c == t[i]), 1) for c in set(t)}
+            own, other = means.pop(t[i]), min(means.values())
+            assert got[a, i][0] == t[i] and abs(got[a, i][1] - (other - own) / max(own, other)) < 1e-9
+
+
+def test_silhouette_task_holds_few_distances():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(5)
+
+    def batch(n, own):
+        return pa.RecordBatch.from_pydict({"_own": [own] * n, "id": pa.array(np.arange(n)), "embedding": pa.array(list(rnd.normal(size=(n, 4)))),
+                                           "codes": pa.array([[i % 3] for i in range(n)], pa.list_(pa.int32())),
+                                           "clusters": pa.array([[i % 3] if own else None for i in range(n)], pa.list_(pa.int32()))})
+    given = [batch(1500, True), batch(8000, False)]
+    tracemalloc.start()
+    found = list(Q._fold([3], [0], [0])((0,), iter(given)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 1500 and peak < 40e6  # all distances of the batch are 96 MB
