@@ -456,3 +456,44 @@ def test_silhouette_task_holds_few_distances():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(b.num_rows for b in found) == 1500 and peak < 40e6  # all distances of the batch are 96 MB
+
+
+def test_few_pairs_of_a_tile_get_exact_distances(monkeypatch):
+    """Small tiles, so that most tiles only compare what may still matter: same lists and forests as from all distances."""
+    from sextant.operators import cells, spanning
+
+    monkeypatch.setattr(spanning, "TILE", 128)
+    monkeypatch.setattr(spanning, "FEW", 4)
+    dense, whole = [], spanning.distances_within
+    monkeypatch.setattr(spanning, "distances_within", lambda *given: (dense.append(1), whole(*given))[1])
+    rng = np.random.default_rng(11)
+    for spread, eps in ((0.0, 1.09), (0.4, 0.3)):  # all directions; groups that are far from each other
+        x = rng.standard_normal((1536, 8)) if not spread else np.abs(rng.standard_normal((30, 8)) ** 3)[rng.integers(0, 30, 1536)] + spread * np.abs(rng.standard_normal((1536, 8)))
+        x[700], x[701:704] = 0.0, x[0]
+        x = cells.unit_rows(x)
+        limit = cells.whole_radius(eps)
+        for left, right in ((slice(0, 700), slice(700, 1536)), (slice(0, 1536), slice(0, 1536))):
+            same = left == right
+            d = cells.whole_distances(x[left], x[right])
+            ids = [np.arange(1536)[s] for s in (left, right)]
+            u, v = np.meshgrid(*ids, indexing="ij")
+            d[u == v] = 4 * cells.UNIT
+            a, b = (cells.Block(i, x[i], {}) for i in ids)
+            dense.clear()
+            got = spanning._nearest(a, a if same else b, same, 4, limit)
+            assert len(dense) < (len(ids[0]) // 128 + 1) * (len(ids[1]) // 128 + 1)
+            near = {}
+            for i, w in zip(got["id"], got["w"]):
+                near.setdefault(int(i), []).append(int(w))
+            for ax in (0,) if same else (0, 1):
+                for i, row in zip(ids[ax], d if ax == 0 else d.T):
+                    want = sorted(int(w) for w in np.sort(row)[:4] if w <= limit)
+                    assert all(abs(p - q) <= 1 for p, q in zip(sorted(near.get(int(i), [])), want, strict=True))
+            core = np.full(1536, 0)
+            a, b = (cells.Block(i, x[i], {"core": core[i]}) for i in ids)
+            dense.clear()
+            got = spanning._reach(a, a if same else b, same, limit)
+            assert len(dense) < (len(ids[0]) // 128 + 1) * (len(ids[1]) // 128 + 1) / (2 if same else 1)
+            keep = (d <= limit) & (u != v)
+            best = spanning.forest_of(d[keep], u[keep], v[keep])
+            assert len(best) == len(got["w"]) and np.abs(np.sort(d[keep][best]) - np.sort(got["w"])).max() <= 1
