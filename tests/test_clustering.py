@@ -497,3 +497,39 @@ def test_few_pairs_of_a_tile_get_exact_distances(monkeypatch):
             keep = (d <= limit) & (u != v)
             best = spanning.forest_of(d[keep], u[keep], v[keep])
             assert len(best) == len(got["w"]) and np.abs(np.sort(d[keep][best]) - np.sort(got["w"])).max() <= 1
+
+
+@pytest.mark.parametrize("eps, ms", [(0.1, 5), (0.3, 3), (1.0, 4), (0.05, 2)])
+def test_one_radius_alone_equals_a_sweep(spark, monkeypatch, eps, ms):
+    from sextant.operators import spanning as S
+    from sextant.operators.cells import extent
+
+    rng = np.random.default_rng(7)
+    around = rng.normal(size=(6, 8))
+    x = np.concatenate([around[k % 6] + rng.normal(size=8) * (0.05 + k % 3 / 4) for k in range(600)]).reshape(600, 8)
+    x[[3, 50]], x[100] = x[7], 0.0  # copies, and a row without a direction
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    for block_rows in (None, 90):
+        size = extent(v, "embedding", block_rows)
+        assert (size.blocks > 1) == (block_rows is not None)
+        found = []
+        for least in (0, 10**9):
+            monkeypatch.setattr(S, "ONE_RADIUS_ROWS", least)
+            found.append({(r["id"], r["root"]) for r in S.density_roots(v, [eps], ms, size=size).collect()})
+        assert found[0] == found[1]
+
+
+def test_one_radius_compares_neither_settled_rows_nor_rows_of_one_part(monkeypatch):
+    from sextant.operators import radius as R
+    from sextant.operators.cells import Block, whole_radius
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2, 64)).repeat(3000, axis=0) + rng.normal(size=(6000, 64)) * 0.05
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    block, compared, near = Block(np.arange(6000), x, {"known": np.zeros(6000, dtype=np.int64)}), [], R.Sides.near
+    monkeypatch.setattr(R.Sides, "near", lambda self, rows, cols: (compared.append(len(rows) * len(cols)), near(self, rows, cols))[1])
+    limit = whole_radius(0.1)
+    assert np.bincount(R.some_near(block, block, True, 19, limit)["id"]).tolist() == [19] * 6000
+    found = R.parts_of(block, limit)
+    assert found["part"].tolist() == [0] * 3000 + [3000] * 3000
+    assert sum(compared) < 6000 * 6000 / 4  # each pair was looked at twice before
