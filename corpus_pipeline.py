@@ -131,7 +131,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     and rows without an id are packed each for itself; texts of any length
     are encoded whole and cut.  An empty table has no pieces.
     """
-    return best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return best_fit_pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, give_up=True)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("ngram_jaccard_join", ngram_jaccard_join), ("substring_dedup", substring_dedup),

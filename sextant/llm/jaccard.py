@@ -42,6 +42,8 @@ from sextant.session import bounded_broadcast
 U64 = np.uint64
 #: Members and bytes of a region that one join sees.
 REGION_ROWS, REGION_BYTES = 2048, 24 << 20
+#: Bytes of sets that leave a worker together.
+FETCH_BYTES = 4 << 20
 #: New pivots of a region that is too large.
 SPLIT_PIVOTS = 8
 #: Rows of (id, key) pairs that may be broadcast.
@@ -202,6 +204,15 @@ def _sizes(regions: DataFrame) -> DataFrame:
     return regions.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.octet_length("s")).alias("bytes"))
 
 
+def _by_size(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of consecutive items of at most ``limit`` bytes, or of one item."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), side="right")))
+        yield at, to
+        at = to
+
+
 def _too_large(sizes: DataFrame) -> DataFrame:
     return sizes.where((F.col("rows") > REGION_ROWS) | (F.col("bytes") > REGION_BYTES))
 
@@ -284,6 +295,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)),
                                                       pa.array(np.repeat(np.array(d1), [len(p) for p in parts]))], ["key", "d1"])
+        seen.clear()
+        give_back()
 
     shared = given.select("text").mapInArrow(keys, "key long, d1 long").withColumn("region", F.min("d1").over(Window.partitionBy("key")))
     others = stored(shared.where("region <> d1").select("region", "d1").distinct(), "members")
@@ -302,9 +315,10 @@ def jaccard_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
                 sets = [shingles(t or b"", n) for t in given_texts[i:j]]
                 of = np.repeat(np.arange(j - i), [len(r) for r in regions[i:j]])
                 ids = np.array([_digests(s) for s in sets], dtype=np.int64)[of]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for r in regions[i:j] for x in r], pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
-                     pa.array([s.tobytes() for s in sets], pa.binary()).take(pa.array(of))], ["region", "d1", "d2", "s"])
+                region, blobs = np.array([x for r in regions[i:j] for x in r], dtype=np.int64), [s.tobytes() for s in sets]
+                for a, b in _by_size(np.array([len(x) for x in blobs])[of], FETCH_BYTES):  # a set goes to many regions
+                    yield pa.RecordBatch.from_arrays([pa.array(region[a:b]), pa.array(ids[a:b, 0]), pa.array(ids[a:b, 1]),
+                                                      pa.array([blobs[k] for k in of[a:b].tolist()], pa.binary())], ["region", "d1", "d2", "s"])
 
     regions = texts.select("text", "regions").mapInArrow(fetch, "region long, d1 long, d2 long, s binary")
     large = stored(_too_large(sizes), "large")

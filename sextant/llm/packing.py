@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import by_bytes, byte_groups, stored
+from sextant.llm.common import by_bytes, byte_groups, give_back, stored
 from sextant.llm.tokenizing import id_encoder
 
 #: Pieces that one ranking task should see.
@@ -98,8 +98,8 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int | None, id_col: str, text_col: str,
-                 batch_bytes: int = 1 << 20) -> DataFrame:
-    """``(id, piece, start, length, ids_crc32)`` of every document's token ids."""
+                 batch_bytes: int = 1 << 20, give_up: bool = False) -> DataFrame:
+    """``(id, piece, start, length, ids_crc32)`` of every document's token ids; ``give_up``: a task leaves no encoder in its worker."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +124,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+        if give_up:
+            del encoder
+            id_encoder.cache_clear()
+            give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut, f"id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int | None = 2,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", give_up: bool = False) -> DataFrame:
     """``(id, piece, start, length, ids_crc32, sequence_id, offset)`` per piece.
 
     A document is its ids and then ``end_id``; one of more than ``capacity``
@@ -139,9 +143,10 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, en
     sequences that best-fit decreasing finds.  A null or empty text is its
     end token alone (no piece at all without an ``end_id``); repeated rows
     and null ids are packed row by row; an empty table gives an empty result;
-    other columns are not read.
+    other columns are not read.  With ``give_up`` workers keep no encoder between
+    tasks, so that other work has their memory.
     """
-    pieces = stored(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = stored(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, give_up=give_up), "pieces")
     spark = docs.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     buckets = max(1, sum(counts.values()) // RANK_ROWS)

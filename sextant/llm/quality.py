@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import as_bytes, by_bytes, held_out, result_schema, unit_hash
+from sextant.llm.common import as_bytes, by_bytes, give_back, held_out, result_schema, unit_hash
 
 BLOCK = 2048
 DICTIONARY_BYTES = 112_640
@@ -153,6 +153,8 @@ def score(docs: DataFrame, model: CompressionModel, threshold: float = 0.7, id_c
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))],
                 [*names, "held_out", "score", "predicted"])
+        del sizes  # its compressors' memory is the worker's until it is given back
+        give_back()
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "held_out", "score", "predicted")

@@ -275,3 +275,13 @@ def test_neighbours_of_clashing_ids_and_queries_with_few_candidates_in_their_par
 
 def test_parts_grow_with_the_table():
     assert [neighbours.part_count(n, min(n, 16_384)) for n in (1, 500, 10_000, 1_000_000, 10 ** 9)] == [1, 4, 64, 256, 256]
+
+
+def test_sets_leave_the_worker_in_bounded_batches():
+    import numpy as np
+
+    from sextant.llm.jaccard import _by_size
+
+    sizes = np.array([3, 3, 3, 20, 1, 9, 1])
+    assert list(_by_size(sizes, 10)) == [(0, 3), (3, 4), (4, 6), (6, 7)]
+    assert list(_by_size(sizes[:0], 10)) == []

@@ -175,3 +175,23 @@ def test_long_texts_are_counted_slice_by_slice(monkeypatch):
 def test_end_token_of_empty_texts(docs_of, n):
     found = best_fit_pack(docs_of([(1, "")]), BYTE_BPE, capacity=8, end_id=2 if n else None)
     assert found.count() == n
+
+
+def test_workers_keep_no_encoder_that_is_given_up(spark):
+    import public_tokenizers
+
+    from sextant.llm import packing
+    from sextant.llm.tokenizing import id_encoder
+
+    def held(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([id_encoder.cache_info().currsize] * batch.num_rows, pa.int32())], ["n"])
+
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    kept = sorted(map(tuple, packing.best_fit_pack(docs, path).select("doc_id", "length", "ids_crc32").collect()))
+    for _ in range(3):  # whichever worker kept one
+        given = sorted(map(tuple, packing.best_fit_pack(docs, path, give_up=True).select("doc_id", "length", "ids_crc32").collect()))
+    assert given == kept
+    assert spark.range(64).repartition(4).mapInArrow(held, "n int").agg({"n": "max"}).first()[0] == 0
