@@ -186,3 +186,22 @@ def test_batched_responder_reads_the_utterances(spark):
     df = spark.createDataFrame([(k, p) for k, p in enumerate(prompts)], "k int, prompt string").coalesce(1)
     got = [r["response"] for r in answer_prompts(df, best_matching_responder, batch_size=2).orderBy("k").collect()]
     assert got == ["cancel-order", "a-b", None, "", ""]
+
+
+def test_words_counted_in_rows_give_the_same_scores(spark):
+    from sextant.operators import evaluate as E
+
+    long = " ".join(f"w{k % 7}" for k in range(60))
+    rows = [(1, 0, "a b a", "a c"), (1, 1, "a b a", "b"), (2, 0, None, "a"), (2, 1, "x", None), (3, 0, "", ""), (4, 0, "a a", "a"), (4, 0, "b a", "b a"),
+            (5, 0, long, long), (6, 0, "w1 </s> s", "w1"), (None, 0, "a", "a"), (7, 1, long, "w1 w2 z")]
+    pairs = spark.createDataFrame(rows, "id long, ref_no int, src string, tgt string")
+    keys = ["id", "ref_no"]
+
+    def told(some, in_rows):
+        lp = E.copy_scorer_logprobs(some, keys, in_rows=in_rows)
+        return sorted((r["id"], r["ref_no"], r["pos"], round(r["logprob"], 12), r["is_pad"]) for r in lp.collect())
+    assert told(pairs, True) == told(pairs, False)
+    plain = pairs.where("id in (1, 2, 3, 6, 7)")
+    assert told(plain, True) == told(plain, False)
+    plan = E.copy_scorer_logprobs(plain, keys, in_rows=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # no word of a source is shuffled
