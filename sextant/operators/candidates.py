@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +128,61 @@ def explode_pairs(df: DataFrame, id_col: str | list[str] = "id", tokens_col: str
     return out.withColumn("pair", F.concat_ws("-", "action", "object"))
 
 
-def action_object_ext(df: DataFrame, tokens_col: str = "tokens", id_col: str | list[str] = "id") -> DataFrame:
+def _first_pairs(tokens: pa.Array) -> pa.Array:
+    """The first pair of each token array, by arrays; ``NONE`` where there is none."""
+    if not len(tokens):
+        return pa.array([], pa.string())
+    ends = tokens.offsets.to_numpy().astype(np.int64)
+    i, text, dep, head = (tokens.values.field(c) for c in ("i", "text", "dep", "head"))
+    number, head = i.to_numpy(zero_copy_only=False), head.to_numpy(zero_copy_only=False)
+
+    def of_kind(*kinds: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens of these kinds, and whose they are; null arrays may hold some, which are not theirs."""
+        at = np.flatnonzero(pc.fill_null(pc.is_in(dep, pa.array(kinds)), False).to_numpy(zero_copy_only=False))
+        at = at[(at >= ends[0]) & (at < ends[-1])]
+        return at, np.searchsorted(ends, at, side="right") - 1
+
+    at, owner = of_kind("dobj")
+    owners, first = np.unique(owner, return_index=True)
+    valid = tokens.is_valid().to_numpy(zero_copy_only=False)[owners]
+    owners, objects = owners[valid], at[first[valid]]
+    verbs = ends[owners] + head[objects]
+    xcomp = pc.fill_null(pc.equal(dep.take(pa.array(verbs)), "xcomp"), False).to_numpy(zero_copy_only=False)
+
+    def beside(kinds: tuple[str, ...], wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, list]:
+        at, owner = of_kind(*kinds)
+        pair = np.minimum(np.searchsorted(owners, owner), max(len(owners) - 1, 0))
+        known = owners[pair] == owner if len(owners) else np.zeros(len(at), dtype=bool)
+        at, pair = at[known], pair[known]
+        ok = wanted(at, pair)
+        return pair[ok], text.take(pa.array(at[ok])).to_pylist()
+
+    mods = beside(tuple(MODIFIER_DEPS), lambda m, p: (head[m] == number[objects[p]]) & (number[m] < number[objects[p]]))
+    negs = beside(("neg",), lambda n, p: (head[n] == number[verbs[p]]) | (xcomp[p] & (head[verbs[p]] == head[n])))
+    objects_text, verbs_text = ([[w] for w in text.take(pa.array(k)).to_pylist()] for k in (objects, verbs))
+    for p, w in reversed([*zip(mods[0].tolist(), mods[1])]):
+        objects_text[p].insert(0, w)
+    for p, w in zip(negs[0].tolist(), negs[1]):
+        verbs_text[p].insert(0, w)
+    out = np.full(len(tokens), PLACEHOLDER, dtype=object)
+    for k, verb, obj in zip(owners.tolist(), verbs_text, objects_text):
+        out[k] = "_".join(verb) + "-" + "_".join(obj)
+    return pa.array(out, pa.string())
+
+
+def action_object_ext(df: DataFrame, tokens_col: str = "tokens", id_col: str | list[str] = "id", by_arrays: bool = False) -> DataFrame:
     """First pair of D3 with negations and modifiers, original case; none -> ``NONE``.
 
+    ``by_arrays``: for tokens of ``rule_annotate(.., read_once=True)``, which no
+    other column reads; an Arrow function in the worker that made them.
+
     Only a text's first object is looked at, so this is linear in its tokens
     and stays in the row.  The generator over one element keeps the optimiser
     from copying the tokens' own expression to each place that reads them.
     """
+    if by_arrays:
+        found = F.arrow_udf("string")(_first_pairs).asNondeterministic()  # so that no filter runs it a second time
+        return df.withColumn("candidate_intent", found(F.col(tokens_col))).drop(tokens_col)
     held = df.withColumn("_tokens", F.explode(F.array(F.col(tokens_col))))
     tokens = F.col("_tokens")
     pairs = F.transform(F.slice(_dobjs(tokens), 1, 1),

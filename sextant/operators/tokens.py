@@ -161,7 +161,7 @@ def _text_slices(texts: pa.Array) -> Iterator[pa.Array]:
         at = stop
 
 
-def rule_annotate(df: DataFrame, text_col: str = "text", out_col: str = "tokens") -> DataFrame:
+def rule_annotate(df: DataFrame, text_col: str = "text", out_col: str = "tokens", read_once: bool = False) -> DataFrame:
     """D7 with built-in rules: adds the token array column (narrow, no shuffle).
 
     Rules, on words of at least 5 letters: VERB by suffix ing/ed/er/ir/ar/en,
@@ -176,13 +176,16 @@ def rule_annotate(df: DataFrame, text_col: str = "text", out_col: str = "tokens"
     All words of an Arrow batch are looked at together, by arrays.  Called
     nondeterministic so that the optimiser evaluates it once: a filter inferred
     from a generator over the tokens would annotate every text a second time.
+    ``read_once``: one Arrow function alone reads the tokens
+    (:func:`~sextant.operators.candidates.action_object_ext` ``by_arrays``); it
+    then runs in the same worker, and tokens are not sent to the JVM and back.
     """
     @F.arrow_udf(TOKEN_SCHEMA)
     def run(texts: pa.Array) -> pa.Array:
         found = [_tokens_of(part) for part in _text_slices(texts)]
         return pa.concat_arrays(found) if found else _tokens_of(texts)
 
-    return df.withColumn(out_col, run.asNondeterministic()(F.col(text_col)))
+    return df.withColumn(out_col, (run if read_once else run.asNondeterministic())(F.col(text_col)))
 
 
 def annotate(df: DataFrame, parse: Callable[[str], list[dict]], text_col: str = "text",

@@ -227,3 +227,31 @@ def test_rule_annotate_by_arrays(spark, monkeypatch):
     assert rows[0] is None and all([tuple(t) for t in rows[k]] == _rules(t) for k, t in enumerate(texts, 1))
     heads = token_heads(rule_annotate(df))
     assert heads._jdf.queryExecution().optimizedPlan().toString().count("run(text") == 1  # texts are annotated once
+
+
+def test_first_pairs_by_arrays_equal_the_array_expressions(spark):
+    import random
+
+    from sextant.operators import candidates as C
+    from sextant.operators.tokens import TOKEN_SCHEMA, rule_annotate
+
+    rng = random.Random(5)
+    word = ["running", "station", "no", "pas", "payment,", "houses.", "tall", "nicht", "Leitung", "hablar", "nación", "x", "\n"]
+    texts = [None, "", " ", *(" ".join(rng.choices(word, k=rng.randrange(1, 40))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    new = C.action_object_ext(rule_annotate(df, read_once=True), by_arrays=True)
+    assert "tokens" not in new.columns
+    old = C.action_object_ext(rule_annotate(df))
+    found = {r["id"]: r["candidate_intent"] for r in new.collect()}
+    assert found == {r["id"]: r["candidate_intent"] for r in old.collect()}
+    assert found[0] == found[1] == "NONE" and len(set(found.values())) > 50
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "_first_pairs(run(" in plan and "_first_pairs(tokens" not in plan  # tokens stay in the worker
+
+    deps, rows = ["", "dobj", "compound", "amod", "neg", "xcomp"], []
+    for i in range(200):
+        n = rng.randrange(1, 12)
+        rows.append((i, [(k, f"w{k}", "X", rng.choice(deps), rng.randrange(n)) for k in range(n)] if i % 20 else None))
+    given = spark.createDataFrame(rows, f"id long, tokens {TOKEN_SCHEMA}")
+    both = [{r["id"]: r["candidate_intent"] for r in C.action_object_ext(given, by_arrays=b).collect()} for b in (True, False)]
+    assert both[0] == both[1]
