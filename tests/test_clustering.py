@@ -533,3 +533,64 @@ def test_one_radius_compares_neither_settled_rows_nor_rows_of_one_part(monkeypat
     found = R.parts_of(block, limit)
     assert found["part"].tolist() == [0] * 3000 + [3000] * 3000
     assert sum(compared) < 6000 * 6000 / 4  # each pair was looked at twice before
+
+
+def test_rows_that_know_their_own_block_spare_the_tiles_between_blocks(monkeypatch):
+    from sextant.operators import cells, spanning
+
+    dense, whole = [], spanning.distances_within
+    monkeypatch.setattr(spanning, "TILE", 256)
+    monkeypatch.setattr(spanning, "distances_within", lambda *given: (dense.append(1), whole(*given))[1])
+    x = cells.unit_rows(np.random.default_rng(5).standard_normal((2048, 16)))
+    limit = cells.whole_radius(1.09)
+    own = [cells.Block(ids, x[ids], {}) for ids in (np.arange(1024), np.arange(1024, 2048))]
+    lists = [spanning._nearest(b, b, True, 4, limit) for b in own]
+    for b, found in zip(own, lists):
+        b.more["known"] = np.zeros(1024, dtype=np.int64)
+        np.maximum.at(b.more["known"], found["id"] - b.ids[0], found["w"])
+    dense.clear()
+    both = [*lists, spanning._nearest(*own, False, 4, limit)]
+    assert not dense  # the first row and column of tiles before
+    ids, w = (np.concatenate([f[c] for f in both]) for c in ("id", "w"))
+    d = cells.whole_distances(x, x)
+    np.fill_diagonal(d, 4 * cells.UNIT)
+    assert all(np.abs(np.sort(w[ids == i])[:4] - np.sort(d[i])[:4]).max() <= 1 for i in range(2048))
+
+    for b in own:
+        b.more["core"] = np.zeros(1024, dtype=np.int64)
+    forests = []
+    for b in own:
+        found = spanning._own_reach(b, limit)
+        forests.append({c: found[c][~found["own"]] for c in "wij"})
+        at = found["i"][found["own"]] - b.ids[0]
+        for name, c in (("radius", "w"), ("root", "j")):
+            b.more[name] = np.empty(1024, dtype=np.int64)
+            b.more[name][at] = found[c][found["own"]]
+    dense.clear()
+    between = spanning._reach(*own, False, limit)
+    assert len(dense) <= 1  # the first row and column of tiles before
+    assert (between["i"] < 1024).all() and (between["j"] >= 1024).all()
+    w, i, j = (np.concatenate([f[c] for f in (*forests, between)]) for c in "wij")
+    u, v = np.triu_indices(2048, 1)
+    keep = d[u, v] <= limit
+    want = np.sort(d[u, v][keep][spanning.forest_of(d[u, v][keep], u[keep], v[keep])])
+    assert np.abs(np.sort(w[spanning.forest_of(w, i, j)]) - want).max() <= 1
+
+
+def test_a_sweep_over_blocks_that_look_at_themselves_first_is_the_same(spark, monkeypatch):
+    from sextant.operators import spanning as S
+    from sextant.operators.cells import extent
+
+    rng = np.random.default_rng(9)
+    around = rng.normal(size=(6, 8))
+    x = np.concatenate([around[k % 6] + rng.normal(size=8) * (0.05 + k % 3 / 4) for k in range(600)]).reshape(600, 8)
+    x[[3, 50]], x[100] = x[7], 0.0  # copies, and a row without a direction
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    size, radii = extent(v, "embedding", 200), [0.02, 0.1, 0.3, 0.7, 1.05]
+    monkeypatch.setattr(S, "TILE", 64)
+    monkeypatch.setattr(S, "FEW", 4)
+    found = []
+    for least in (0, 10**9):
+        monkeypatch.setattr(S, "ONE_RADIUS_ROWS", least)
+        found.append({(r["param_idx"], r["id"], r["root"]) for r in S.density_roots(v, radii, 4, size=size).collect()})
+    assert found[0] == found[1] and len(found[0]) == 3000
