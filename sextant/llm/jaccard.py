@@ -88,9 +88,11 @@ def shingles(text: bytes, n: int) -> np.ndarray:
 def part_keys(s: np.ndarray, radius: Radius) -> np.ndarray:
     """Keys of parts of the set: two linked sets that differ have one in common.
 
-    Of the parts, in an order that all sets share with empty parts last, one
-    more than linked sets can differ in is enough.  Sets that nothing else
-    can link with give none.
+    Of the parts, in an order that all sets share, one more than linked sets
+    can differ in is enough.  Parts of many shingles come first, empty ones
+    last: a part of one shingle recurs wherever that phrase does, and gathers
+    sets that have nothing else in common.  Sets that nothing else can link
+    with give none.
     """
     n = len(s)
     enough = radius.most_different(n) + 1
@@ -101,12 +103,10 @@ def part_keys(s: np.ndarray, radius: Radius) -> np.ndarray:
     for c in (own, own + 1):
         k = radius.parts(c)
         part = (mix(s ^ U64(c * 0x5851F42D + 1)) % U64(k)).astype(np.int64)
-        total, filled = np.zeros(k, dtype=U64), np.zeros(k, dtype=bool)
+        total = np.zeros(k, dtype=U64)
         np.add.at(total, part, spread)
-        filled[part] = True
         key = mix(total + U64(0x632BE59BD9B4E019) * (np.arange(k, dtype=U64) + U64(c << 32)))
-        full = np.sort(key[filled])[:enough]
-        out += [full, key[~filled][:enough - len(full)]]
+        out.append(key[np.lexsort((key, -np.bincount(part, minlength=k)))[:enough]])
     return np.concatenate(out)
 
 

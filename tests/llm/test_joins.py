@@ -285,3 +285,19 @@ def test_sets_leave_the_worker_in_bounded_batches():
     sizes = np.array([3, 3, 3, 20, 1, 9, 1])
     assert list(_by_size(sizes, 10)) == [(0, 3), (3, 4), (4, 6), (6, 7)]
     assert list(_by_size(sizes[:0], 10)) == []
+
+
+def test_sets_with_a_few_phrases_in_common_share_hardly_any_part():
+    from sextant.llm.jaccard import Radius, part_keys
+
+    radius, rng = Radius(80, 100), np.random.default_rng(2)
+    def a_set(n, *more):
+        return np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), *more]))
+    phrases = a_set(5)
+    sets = [a_set(295, phrases) for _ in range(100)]
+    seen = Counter(k for s in sets for k in set(part_keys(s, radius).tolist()))
+    assert sum(n for n in seen.values() if n > 1) <= 30  # 67 where parts came in any order
+    for s in sets[:20]:  # the most that two linked sets can differ in
+        linked = np.unique(np.concatenate([s[:-33], a_set(33)]))
+        assert radius.links(len(np.intersect1d(s, linked)), len(s), len(linked))
+        assert np.isin(part_keys(s, radius), part_keys(linked, radius)).any()
