@@ -594,3 +594,14 @@ def test_a_sweep_over_blocks_that_look_at_themselves_first_is_the_same(spark, mo
         monkeypatch.setattr(S, "ONE_RADIUS_ROWS", least)
         found.append({(r["param_idx"], r["id"], r["root"]) for r in S.density_roots(v, radii, 4, size=size).collect()})
     assert found[0] == found[1] and len(found[0]) == 3000
+
+
+def test_rounds_of_joins_keep_a_plain_estimate_of_bytes(spark):
+    from sextant.session import LARGEST_ESTIMATE, cut_lineage
+
+    kept = cut_lineage(spark.createDataFrame([(k, 1) for k in range(8)], "id long, v int"))
+    for _ in range(12):  # as products of products the estimates had tens of thousands of bits by then
+        kept = cut_lineage(kept.join(kept.withColumnRenamed("v", "w"), "id").select("id", (F.col("v") + F.col("w")).alias("v")))
+    assert kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= LARGEST_ESTIMATE
+    assert sorted(tuple(r) for r in kept.collect()) == [(k, 4096) for k in range(8)]
+    assert kept.dtypes == [("id", "bigint"), ("v", "int")]
