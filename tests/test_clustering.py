@@ -605,3 +605,58 @@ def test_rounds_of_joins_keep_a_plain_estimate_of_bytes(spark):
     assert kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= LARGEST_ESTIMATE
     assert sorted(tuple(r) for r in kept.collect()) == [(k, 4096) for k in range(8)]
     assert kept.dtypes == [("id", "bigint"), ("v", "int")]
+
+
+@pytest.mark.parametrize("blocks", [2, 7, 8])
+def test_waves_hold_every_pair_of_blocks_once(spark, monkeypatch, blocks):
+    from sextant.operators import cells
+
+    monkeypatch.setattr(cells, "WAVE_BYTES", 1)
+    found = []
+    for apart in cells.waves(cells.Extent(100, 4, blocks), 1):
+        sent = [tuple(r) for r in cells._to_pairs(spark.range(100), "id", blocks, False, apart).select("id", "_ba", "_bb").collect()]
+        assert len(sent) == len(set(sent)) <= 100 * 2 * len(apart)
+        pairs = {(a, b) for _, a, b in sent}
+        assert not pairs & set(found)
+        found += pairs
+    assert sorted(found) == [(a, b) for a in range(blocks) for b in range(a + 1, blocks)]
+    assert len(cells.waves(cells.Extent(100, 4, blocks), 1)) == blocks // 2  # all in one before
+
+
+@pytest.mark.parametrize("radii", [[0.1], [0.3], [0.02, 0.1, 0.3, 1.05]])
+def test_clusters_from_waves_of_block_pairs_are_the_same(spark, monkeypatch, radii):
+    from sextant.operators import cells
+    from sextant.operators import spanning as S
+
+    rng = np.random.default_rng(11)
+    around = rng.normal(size=(6, 8))
+    x = np.concatenate([around[k % 6] + rng.normal(size=8) * (0.05 + k % 3 / 4) for k in range(400)]).reshape(400, 8)
+    x[[3, 50]], x[100] = x[7], 0.0  # copies, and a row without a direction
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, embedding array<double>")
+    want = {tuple(r) for r in S.density_roots(v, radii, 4).collect()}
+    monkeypatch.setattr(cells, "WAVE_BYTES", 1)
+    monkeypatch.setattr(S, "ONE_RADIUS_ROWS", 0)
+    for rows in (400, 3):  # with few rows the edges are thinned between waves
+        assert len(cells.waves(cells.Extent(rows, 8, 9), spark.sparkContext.defaultParallelism)) > 1
+        got = {tuple(r) for r in S.density_roots(v, radii, 4, size=cells.Extent(rows, 8, 9)).collect()}
+        assert got == want and len(got) == 400 * len(radii)
+
+
+def test_iter_dbscan_leaves_its_labels_on_disk_only(spark):
+    import os
+
+    rng = np.random.default_rng(2)
+    around = rng.normal(size=(8, 64))
+    rows = [(k, (around[k % 8] + rng.normal(size=64) * (0.05 + k % 4 / 20)).tolist()) for k in range(160)]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    local = os.path.dirname(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getAbsolutePath())
+
+    def shuffled():
+        return {f for at in os.listdir(local) if at.startswith("blockmgr") for _, _, files in os.walk(f"{local}/{at}") for f in files if f.startswith("shuffle")}
+    before, files = set(os.listdir(kept)), shuffled()
+    labels = D.iter_dbscan(v, 0.02, 6, 0.02, 1, 4, 300)
+    left = {f: sum(os.path.getsize(f"{kept}/{f}/{x}") for x in os.listdir(f"{kept}/{f}")) for f in set(os.listdir(kept)) - before}
+    assert len({r["id"] for r in labels.collect()}) == 160 and labels.select("cluster_id").distinct().count() > 2
+    assert sum(left.values()) < 160 * 64 * 8  # each round kept two copies of the vectors that were left
+    assert len(shuffled() - files) < 40
